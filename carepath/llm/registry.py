@@ -5,20 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from carepath.llm import prefix_counts
+from carepath.llm import digest_index, license_scan, mixing, prefix_counts, quality
 from carepath.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).drop("times")
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history is one half of the table, by a hash of doc_id, and the other half arrives after it."""
+    seen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return digest_index.exact_dedup(documents(spark, sf_dir), seen)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_token_counts,)}
+    return {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_quality_rules, op7_source_mix, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_scan": license_scan.SQL, "op9_exact_dedup": digest_index.SQL}
