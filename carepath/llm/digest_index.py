@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from carepath.llm.common import BLANKS, stored
 
 #: Distinct digests in a bucket, about; a bucket is what one call of the index works on.
-BUCKET_KEYS = 8192
+BUCKET_KEYS = 1024
 #: Bits of a level for each digest left.
 SPARSE = 2.0
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import digest_index, license_scan, mixing, prefix_counts, quality
+from carepath.llm import digest_index, license_scan, mixing, packing, prefix_counts, quality
 from carepath.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_dedup(documents(spark, sf_dir), seen)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_quality_rules, op7_source_mix, op9_exact_dedup)}
+    return {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_quality_rules, op7_source_mix, op9_exact_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
