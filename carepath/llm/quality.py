@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cells of the two multinomials, added count for each, and the score from which a document is kept.
-CELLS, SMOOTH, THRESHOLD = 1 << 15, 1.0, -0.5
+CELLS, SMOOTH, THRESHOLD = 1 << 15, 1.0, -0.15
 #: Documents with a trusted label that make the target at most, by least hash of the id.
 TARGET_ROWS = 50_000
 #: Base rules: fewest words, window of repeated words, and the percentage of words in such windows from which a text fails.
