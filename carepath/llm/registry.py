@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import digest_index, license_scan, mixing, packing, prefix_counts, quality
+from carepath.llm import digest_index, license_scan, line_dedup, mixing, packing, prefix_counts, quality
 from carepath.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts are the sources."""
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).drop("times")
 
@@ -40,8 +45,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_quality_rules, op7_source_mix, op9_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_quality_rules, op6_line_dedup, op7_source_mix, op9_exact_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.SQL, "op9_exact_dedup": digest_index.SQL}
+    return {"op3_license_scan": license_scan.SQL, "op6_line_dedup": line_dedup.SQL, "op9_exact_dedup": digest_index.SQL}
