@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import digest_index, license_scan, line_dedup, mixing, packing, prefix_counts, quality
+from carepath.llm import digest_index, license_scan, line_dedup, mixing, near_dup, packing, prefix_counts, quality
 from carepath.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_license_scan, op4_token_counts, op5_quality_rules, op6_line_dedup, op7_source_mix, op9_exact_dedup, op10_packing)}
+    return {f.__name__: f for f in (op2_near_duplicates, op3_license_scan, op4_token_counts, op5_quality_rules, op6_line_dedup, op7_source_mix, op9_exact_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
