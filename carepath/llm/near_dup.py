@@ -314,3 +314,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = rows.select("doc_id", "n_shingles", "key").join(of_class.hint("merge"), "key", "left")
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay: of each group the one with the smallest id; same columns.
+
+    Of rows that repeat the id that stays one is kept.
+    """
+    found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, percent=percent), "near-duplicates")
+    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "dropped")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    stay = docs.join(gone, same, "left_anti")
+    again = stored(found.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and __id is not null").select("__id"), "repeated")
+    if again.isEmpty():
+        return stay
+    if again.count() <= BROADCAST_IDS:
+        again = F.broadcast(again)
+    once = stay.join(again, same, "left_semi").dropDuplicates([id_col])
+    return stay.join(again, same, "left_anti").unionByName(once)

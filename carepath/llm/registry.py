@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import digest_index, license_scan, line_dedup, mixing, near_dup, packing, prefix_counts, quality
-from carepath.llm.common import documents
+from carepath.llm import digest_index, html_text, language, license_scan, line_dedup, mixing, near_dup, packing, prefix_counts, quality
+from carepath.llm.common import documents, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(documents(spark, sf_dir))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
@@ -38,6 +42,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).drop("times")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history is one half of the table, by a hash of doc_id, and the other half arrives after it."""
     seen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
@@ -49,7 +57,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_license_scan, op4_token_counts, op5_quality_rules, op6_line_dedup, op7_source_mix, op9_exact_dedup, op10_packing)}
+    every = (
+        op1_language_id,
+        op2_near_duplicates,
+        op3_license_scan,
+        op4_token_counts,
+        op5_quality_rules,
+        op6_line_dedup,
+        op7_source_mix,
+        op8_html_text,
+        op9_exact_dedup,
+        op10_packing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
