@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cells of a vector, centroids of a language, steps of the clustering.
-CELLS, CENTROIDS, STEPS = 1 << 13, 4, 8
+CELLS, CENTROIDS, STEPS = 1 << 13, 16, 8
 #: Labelled rows of a language that the fit uses, about, by hash of the id; and the most languages there may be.
-ROWS_PER_LANG, MAX_LANGS = 400, 500
+ROWS_PER_LANG, MAX_LANGS = 600, 200
 #: A text is rejected under this share of the usual cosine at its length.
 REJECT = 0.12
 #: Bytes worked on at once; longer texts are counted slice by slice.
