@@ -5,7 +5,7 @@
 2. Classes that agree in a band of the signature meet in a bucket. Pairs in small buckets are
    compared at once. A large bucket is dealt to blocks: first each block with itself and with one
    pivot block, keeping each class's likest partners, so the work grows with the bucket's size;
-   then only classes outside the bucket's main component are compared, with all of it.
+   later only classes outside the bucket's main component are compared, with all of it.
 3. A comparison looks at the signatures in batches and stops as soon as the posterior probability
    that the similarity reaches the threshold falls under MISS.
 4. Survivors are verified on full sets: first each class's likest partner, then, between different
@@ -35,7 +35,7 @@ from carepath.llm.components import components
 BANDS, ROWS, BATCH, MISS = 24, 4, 16, 1e-5
 HASHES = BANDS * ROWS
 #: Classes in a bucket that is compared at once; classes in a block of a larger one; likest partners kept for each class of a block.
-SMALL, BLOCK, LIKEST = 32, 128, 3
+SMALL, BLOCK, LIKEST = 32, 128, 2
 #: Ids up to which a list of them is broadcast (8 bytes each); longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 KEPT_WORDS = 400_000
@@ -190,31 +190,18 @@ def _likest(i: np.ndarray, j: np.ndarray, share: np.ndarray, most: int) -> np.nd
     return stay
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Surviving pairs between the left and right rows of each group (bucket, x, y), of different labels.
+def _grid(part: pd.DataFrame) -> tuple[list[bytes], np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """keys, signatures and labels of a group's rows, and all (left, right) places with different labels."""
+    keys, sig, labels = [bytes(k) for k in part["key"]], _matrix([bytes(s) for s in part["sig"]]), [bytes(k) for k in part["label"]]
+    _, label = np.unique(np.array(labels, object), return_inverse=True)
+    side = part["side"].to_numpy()
+    i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
+    other = label[i] != label[j]
+    return keys, sig, labels, i[other], j[other]
 
-    Both have bucket, x, y, band, key, sig and label; a group is one block of each. `most`: only
-    the likest partners of each class; else all, each pair in the first band that it shares.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        keys, sig, labels = [bytes(k) for k in part["key"]], _matrix([bytes(s) for s in part["sig"]]), [bytes(k) for k in part["label"]]
-        _, label = np.unique(np.array(labels, object), return_inverse=True)
-        side, band = part["side"].to_numpy(), int(part["band"].iloc[0])
-        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
-        other = label[i] != label[j]
-        i, j, share = likely(sig, i[other], j[other], percent)
-        if most is not None:
-            stay = _likest(i, j, share, most)
-        else:
-            stay = np.ones(len(i), bool)
-            for k in range(band):
-                a = slice(k * ROWS, (k + 1) * ROWS)
-                stay &= (sig[i, a] != sig[j, a]).any(axis=1)
-        return _ordered(keys, i[stay], j[stay], share[stay])
 
-    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    return rows.groupBy("bucket", "x", "y").applyInPandas(run, _PAIR)
+def _two_sided(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
 
 
 def _blocks(n: str) -> Column:
@@ -230,21 +217,59 @@ def _first_look(large: DataFrame, percent: int) -> DataFrame:
     rows = large.withColumn("x", _dealt(_blocks("n"))).withColumn("label", F.col("key"))
     left = rows.select("bucket", "x", F.lit(0).alias("y"), "band", "key", "sig", "label")
     pivots = rows.where("x = 0").withColumn("x", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)))
-    right = rows.select("bucket", "x", F.lit(0).alias("y"), "band", "key", "sig", "label").unionByName(pivots.where("x > 0").select("bucket", "x", F.lit(0).alias("y"), "band", "key", "sig", "label"))
-    return _block_pairs(left, right, percent, LIKEST)
+    right = left.unionByName(pivots.where("x > 0").select("bucket", "x", F.lit(0).alias("y"), "band", "key", "sig", "label"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        keys, sig, _, i, j = _grid(part)
+        i, j, share = likely(sig, i, j, percent)
+        stay = _likest(i, j, share, LIKEST)
+        return _ordered(keys, i[stay], j[stay], share[stay])
+
+    return _two_sided(left, right).groupBy("bucket", "x", "y").applyInPandas(run, _PAIR)
+
 
+def _outsider_links(large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (u, v) between the classes of a large bucket outside its main component and all its others.
 
-def _outsiders(large: DataFrame, labels: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """The classes of a large bucket outside its main component, with all classes of the bucket."""
+    A group is one block of outsiders with one block of the bucket. Every pair in it of different
+    components is compared, in the first band that it shares, likest first, and verified on full
+    sets unless a link found before it has connected the two components.
+    """
     named = large.join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
     sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("n_labels")).where("n_labels > 1")
     main = main.select("bucket", F.col("top.label").alias("main"), (F.col("all") - F.col("top.m")).alias("out"))
-    live = named.join(main, "bucket")
-    columns = ["bucket", "x", "y", "band", "key", "sig", "label"]
+    live = named.join(main, "bucket").join(sets.hint("merge"), "key")
+    columns = ["bucket", "x", "y", "band", "key", "sig", "label", "shingles"]
     left = live.where("label <> main").withColumn("x", _dealt(_blocks("out"))).withColumn("y", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)))
     right = live.withColumn("y", _dealt(_blocks("n"))).withColumn("x", F.explode(F.sequence(F.lit(0), _blocks("out") - 1)))
-    return _block_pairs(left.select(columns), right.select(columns), percent, most)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        keys, sig, labels, i, j = _grid(part)
+        i, j, share = likely(sig, i, j, percent)
+        first = np.ones(len(i), bool)
+        for k in range(int(part["band"].iloc[0])):
+            a = slice(k * ROWS, (k + 1) * ROWS)
+            first &= (sig[i, a] != sig[j, a]).any(axis=1)
+        i, j, share = i[first], j[first], share[first]
+        whole, joined, out = [np.asarray(s) for s in part["shingles"]], {}, []
+
+        def root(x: bytes) -> bytes:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        for k in np.argsort(-share, kind="stable"):
+            x, y = int(i[k]), int(j[k])
+            a, b = root(labels[x]), root(labels[y])
+            if a != b:
+                common = len(np.intersect1d(whole[x], whole[y], assume_unique=True))
+                if 100 * common >= percent * (len(whole[x]) + len(whole[y]) - common):
+                    joined[a] = b
+                    out.append((keys[x], keys[y]))
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    return _two_sided(left.select(columns), right.select(columns)).groupBy("bucket", "x", "y").applyInPandas(run, "u binary, v binary")
 
 
 def _one(pairs: DataFrame) -> DataFrame:
@@ -297,15 +322,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = stored(_verified(likest, sets, percent), "verified")
     labels = components(links)
 
-    more = stored(_outsiders(large, labels, percent, LIKEST), "outsiders") if not large.isEmpty() else None
-    second = _across(pairs if more is None else _one(pairs.unionByName(more)), labels)
-    links = stored(links.unionByName(_verified(second, sets, percent)), "verified")
+    links = stored(links.unionByName(_verified(_across(pairs, labels), sets, percent)), "verified")
     labels = components(links)
-    if more is not None:
-        rest = stored(_across(_one(_outsiders(large, labels, percent, None)), labels), "outsiders")
-        if not rest.isEmpty():
-            links = links.unionByName(_verified(rest, sets, percent))
-            labels = components(links)
+    if not large.isEmpty():
+        found = stored(_outsider_links(large, labels, sets, percent), "outsiders")
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
 
     rooted = classes.select("key", "rep").join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
