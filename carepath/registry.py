@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carepath.plans import table_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_queries.QUERIES["trailing_run"](spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(table_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(table_queries.SQL)
