@@ -38,7 +38,7 @@ HASHES = BANDS * ROWS
 SMALL, BLOCK, LIKEST = 32, 128, 2
 #: Ids up to which a list of them is broadcast (8 bytes each); longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 50_000
 SEED = 71
 
 

@@ -23,7 +23,7 @@ CELLS, SMOOTH, THRESHOLD = 1 << 15, 1.0, -0.15
 TARGET_ROWS = 50_000
 #: Base rules: fewest words, window of repeated words, and the percentage of words in such windows from which a text fails.
 FEWEST_WORDS, WINDOW, REPEATED_PERCENT = 20, 8, 30
-KEPT_WORDS = 400_000
+KEPT_WORDS = 50_000
 
 
 class WordHashes(dict):
