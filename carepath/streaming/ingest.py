@@ -19,9 +19,10 @@ def keep_graphs(spark: SparkSession, root: str, nodes_path: str, edges_path: str
     def put(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        n = graph.nodes(fhir.records(fhir.entries(batch)))
+        n = graph.nodes(fhir.records(fhir.entries(batch))).persist()
         store.replace_patients(n, nodes_path)
-        fresh = spark.read.parquet(nodes_path).drop("part").join(n.select("patient").distinct(), "patient", "left_semi")
-        store.replace_patients(graph.edges(fresh).unionByName(graph.precedes(graph.series(fresh, graph.same_measurement(fresh)), fresh)), edges_path)
+        e = graph.edges(n).unionByName(graph.precedes(graph.series(n, graph.same_measurement(n)), n))
+        store.replace_patients(e, edges_path)
+        n.unpersist()
 
     return arrived.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
