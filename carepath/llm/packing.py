@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -56,13 +57,14 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, chunks: list[str]) -> None:
         """Remembers the ids of parts without blanks."""
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
-        cut = [PIECES.findall(c.lower()) for c in chunks]
+        low = [c.lower() for c in chunks]
+        cut = [[c] if c.isalpha() else PIECES.findall(c) for c in low]
         new = list({p for ps in cut for p in ps if p not in self.pieces})
         self.pieces.update(zip(new, self._ids(new), strict=True))
         ids = self.pieces.__getitem__
