@@ -54,7 +54,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Adds size and key to the rows, under names that no column of a table should have."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(SEED)), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
     return docs.withColumn("__size", words(F.col(text_col))).withColumn("__key", -F.log(u) / quality(F.col(text_col))).withColumn("__source", F.col(source_col)).withColumn("__id", F.col(id_col).cast("string"))
 
 
@@ -74,7 +75,7 @@ def cuts(keyed: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     for r in totals:
         epochs = min(most, int(goal[r["__source"]] // r["size"])) if r["size"] else 0
         rest = goal[r["__source"]] - epochs * r["size"]
-        plan.append((r["__source"], r["size"], goal[r["__source"]], epochs, rest if epochs < most else 0.0, max(1, r["rows"] // RANGE_ROWS)))
+        plan.append((r["__source"], r["size"], round(goal[r["__source"]], 6), epochs, rest if epochs < most else 0.0, max(1, r["rows"] // RANGE_ROWS)))
     per_source = F.broadcast(spark.createDataFrame(plan, "__s string, source_size long, target double, epochs int, rest double, ranges long"))
 
     here = F.col("__source").eqNullSafe(F.col("__s"))
@@ -120,3 +121,22 @@ def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sizes = stored(keyed.select("__size", "__key", "__source", "__id"), "mix-sizes")
     found = keyed.join(F.broadcast(stored(cuts(sizes, weights, most), "mix-cuts")), F.col("__source").eqNullSafe(F.col("__s")))
     return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _times()))).select(*docs.columns)
+
+
+def _sql() -> str:
+    weight = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(WEIGHTS))
+    return rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  (('0x' || substr(md5('{SEED}|' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / {2**52}::DOUBLE AS u,
+  coalesce(1.0::DOUBLE - 0.5::DOUBLE * least(1.0::DOUBLE, 8.0::DOUBLE * (length(text) - length(translate(text, '#*$%&|<>', '')))::DOUBLE / greatest(length(text), 1)::DOUBLE), 1.0::DOUBLE) AS q FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
+w AS (SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} {weight} END::DOUBLE AS w FROM t),
+o AS (SELECT *, (sum(s) OVER () - {MOST_EPOCHS} * coalesce(sum(s) OVER (ORDER BY s / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY s / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM w),
+x AS (SELECT *, least({MOST_EPOCHS} * s, w * (SELECT share FROM o WHERE share * w <= {MOST_EPOCHS} * s ORDER BY s / w, source LIMIT 1)) AS target FROM o),
+y AS (SELECT source, s, target, CASE WHEN s = 0 THEN 0 ELSE least({MOST_EPOCHS}, floor(target / s))::BIGINT END AS epochs FROM x),
+k AS (SELECT doc_id, d.source, size, s, target, epochs, CASE WHEN epochs < {MOST_EPOCHS} THEN target - epochs * s ELSE 0 END AS rest,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY -ln(u) / q, CAST(doc_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source)
+SELECT doc_id, size, s AS source_size, round(target::DOUBLE, 6) AS target, CAST((epochs + CASE WHEN before < rest AND before + size / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM k"""
+
+
+SQL = _sql()

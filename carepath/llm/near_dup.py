@@ -356,3 +356,17 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         again = F.broadcast(again)
     once = stay.join(again, same, "left_semi").dropDuplicates([id_col])
     return stay.join(again, same, "left_anti").unionByName(once)
+
+
+def sql(width: int, percent: int) -> str:
+    """The same components for DuckDB, by counting the shingles that every two texts share."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: {shingle}) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT u AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(v) AS component_id, u = min(v) AS kept FROM r LEFT JOIN n ON u = n.doc_id GROUP BY u"""

@@ -73,4 +73,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.SQL, "op6_line_dedup": line_dedup.SQL, "op9_exact_dedup": digest_index.SQL}
+    return {
+        "op2_near_duplicates": near_dup.sql(3, 85),
+        "op3_license_scan": license_scan.SQL,
+        "op6_line_dedup": line_dedup.SQL,
+        "op7_source_mix": mixing.SQL,
+        "op9_exact_dedup": digest_index.SQL,
+    }
