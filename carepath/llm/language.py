@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Cells of a vector, centroids of a language, steps of the clustering.
 CELLS, CENTROIDS, STEPS = 1 << 13, 16, 8
-#: Labelled rows of a language that the fit uses, about, by hash of the id; and the most languages there may be.
-ROWS_PER_LANG, MAX_LANGS = 600, 200
+#: Labelled rows of a language and of all languages that the fit uses, about, by hash of the id; and the most languages there may be.
+ROWS_PER_LANG, ROWS, MAX_LANGS = 600, 3000, 200
 #: A text is rejected under this share of the usual cosine at its length.
 REJECT = 0.12
 #: Bytes worked on at once; longer texts are counted slice by slice.
@@ -87,8 +87,8 @@ def _clusters(unit: np.ndarray, k: int) -> np.ndarray:
 def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from a bounded sample of the rows that `train` marks and that have a lang and a letter.
 
-    The sample is drawn by a hash of the id, ROWS_PER_LANG of each language in expectation; only
-    its counts come to the driver. None without any labelled row.
+    The sample is drawn by a hash of the id, ROWS_PER_LANG of each language in expectation but not
+    more than ROWS in all; only its counts come to the driver. None without any labelled row.
     """
     rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     found = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
@@ -96,24 +96,30 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not found:
         return None
-    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, ROWS_PER_LANG / r["n"])) for r in found], "__lang string, __share double"))
+    each = min(ROWS_PER_LANG, ROWS / len(found))
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in found], "__lang string, __share double"))
     u = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1e6
     sample = rows.join(share, F.col(lang_col) == F.col("__lang")).where(u < F.col("__share")).select("__lang", F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [(lang, gram_counts(t)) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if has_letter(t)]
-            cells = [np.flatnonzero(c) for _, c in kept]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array(cells, pa.list_(pa.int32())), pa.array([c[i] for (_, c), i in zip(kept, cells, strict=True)], pa.list_(pa.int32()))], ["lang", "cells", "n"])
+            cells = [np.flatnonzero(c).astype("<i4") for _, c in kept]
+            pack = lambda xs: pa.array([x.astype("<i4").tobytes() for x in xs], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pack(cells), pack(c[i] for (_, c), i in zip(kept, cells, strict=True))], ["lang", "cells", "n"])
 
-    got = sorted((r["lang"], r["cells"], r["n"]) for r in sample.mapInArrow(count, "lang string, cells array<int>, n array<int>").collect())
+    got = sorted((r["lang"], bytes(r["cells"]), bytes(r["n"])) for r in sample.mapInArrow(count, "lang string, cells binary, n binary").collect())
     if not got:
         return None
-    counts = np.zeros((len(got), CELLS), np.float32)
-    for row, (_, cells, n) in zip(counts, got, strict=True):
-        row[cells] = n
-    idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    unit, langs = _unit(np.log1p(counts) * idf), np.array([g[0] for g in got])
+    unit = np.zeros((len(got), CELLS), np.float32)
+    for row, (_, cells, n) in zip(unit, got, strict=True):
+        row[np.frombuffer(cells, "<i4")] = np.frombuffer(n, "<i4")
+    size = np.log2(np.maximum(unit.sum(axis=1), 1)).astype(int)
+    idf = (np.log((1 + len(got)) / (1 + np.count_nonzero(unit, axis=0))) + 1).astype(np.float32)
+    np.log1p(unit, out=unit)  # in place: the matrix is what the driver's memory holds
+    unit *= idf
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-30)
+    langs = np.array([g[0] for g in got])
     names, centers = [], []
     for lang in sorted(set(langs)):
         own = unit[langs == lang]
@@ -121,7 +127,6 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
         names += [lang] * len(centers[-1])
     centroids = np.vstack(centers)
     cosine = (unit @ centroids.T).max(axis=1)
-    size = np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int)
     known = np.array([np.median(cosine[size == s]) if (size == s).sum() >= 5 else np.nan for s in range(32)])
     known[0] = 0.0 if np.isnan(known[0]) else known[0]
     at = np.flatnonzero(~np.isnan(known))

@@ -55,13 +55,14 @@ class Encoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.remember = KEPT_PIECES
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, chunks: list[str]) -> None:
         """Remembers the ids of parts without blanks."""
-        if len(self.pieces) > KEPT_PIECES:
+        if len(self.pieces) > self.remember:
             self.pieces.clear()
         low = [c.lower() for c in chunks]
         cut = [[c] if c.isalpha() else PIECES.findall(c) for c in low]
@@ -77,7 +78,7 @@ class Encoder:
             parts.append(t.split() if plain else None)
         every = {c for p in parts if p for c in p}
         new = [c for c in every if c not in self.chunks]
-        if len(self.chunks) + len(new) > KEPT_CHUNKS:
+        if len(self.chunks) + len(new) > min(KEPT_CHUNKS, self.remember):
             self.chunks.clear()
             new = list(every)
         self._learn(new)
@@ -91,15 +92,16 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SEQUENCE, forget: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SEQUENCE, remember: int = KEPT_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and ids (little-endian 32-bit) of every piece of every row.
 
-    A Python worker remembers words from one task to the next; with `forget` it drops them at the
-    end of each task, which takes about a fifth more time and leaves the memory to later stages.
+    A Python worker remembers the ids of `remember` pieces at most from one task to the next, about
+    0.2 kB each; fewer take more time and leave memory to what else runs there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
+        enc.remember = remember
         for b in batches:
             at, cut = [], []
             for row, ids in enumerate(enc.encode([t or "" for t in b.column(1).to_pylist()])):
@@ -119,9 +121,6 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
                 ],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
             )
-        if forget:
-            enc.chunks.clear()
-            enc.pieces.clear()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary")
@@ -263,11 +262,11 @@ def pack(cut: DataFrame, *, size: int = SEQUENCE) -> DataFrame:
     return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SEQUENCE, forget: bool = False) -> DataFrame:
+def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SEQUENCE, remember: int = KEPT_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
     A null text is empty and still has its closing id 0. Texts longer than a sequence are cut
     into whole sequences and a rest. Repeated rows are packed as often as they come.
     """
-    cut = stored(pieces(docs, id_col=id_col, text_col=text_col, vocabulary=vocabulary, size=size, forget=forget).drop("ids"), "pieces")
+    cut = stored(pieces(docs, id_col=id_col, text_col=text_col, vocabulary=vocabulary, size=size, remember=remember).drop("ids"), "pieces")
     return pack(cut, size=size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
