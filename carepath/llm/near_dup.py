@@ -319,15 +319,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = stored(_one(_small_pairs(with_sig.where(F.col("n") <= SMALL), percent).unionByName(_first_look(large, percent))), "pairs")
     ends = pairs.select(F.col("a").alias("x"), "a", "b", "share").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "share"))
     likest = ends.groupBy("x").agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = stored(_verified(likest, sets, percent), "verified")
-    labels = components(links)
+    labels = components(_verified(likest, sets, percent))
 
-    links = stored(links.unionByName(_verified(_across(pairs, labels), sets, percent)), "verified")
-    labels = components(links)
+    # what is connected already comes back as one link to its root, so later rounds are short
+    as_links = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    labels = components(as_links(labels).unionByName(_verified(_across(pairs, labels), sets, percent)))
     if not large.isEmpty():
         found = stored(_outsider_links(large, labels, sets, percent), "outsiders")
         if not found.isEmpty():
-            labels = components(links.unionByName(found))
+            labels = components(as_links(labels).unionByName(found))
 
     rooted = classes.select("key", "rep").join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
