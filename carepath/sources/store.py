@@ -28,18 +28,17 @@ def replace_patients(new: DataFrame, path: str, key: str = "patient") -> None:
     that fails leaves the table as it was.
     """
     spark = new.sparkSession
-    new = new.withColumn("part", _part(F.col(key)))
-    if not _exists(spark, path):
-        new.write.partitionBy("part").parquet(path)
-        return
-    new = new.persist()  # read three times
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    old = spark.read.parquet(path).join(F.broadcast(new.select("part").distinct()), "part", "left_semi")  # at most PARTS rows
-    old.join(new.select(key).distinct(), key, "left_anti").unionByName(new).write.partitionBy("part").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    new = new.withColumn("part", _part(F.col(key)))
+    new.write.partitionBy("part").parquet(f"{staged}/new")
+    new = spark.read.schema(new.schema).parquet(f"{staged}/new")
+    if _exists(spark, path):
+        old = spark.read.parquet(path).join(F.broadcast(new.select("part").distinct()), "part", "left_semi")  # at most PARTS rows
+        old.join(new.select(key).distinct(), key, "left_anti").unionByName(new).write.partitionBy("part").parquet(f"{staged}/all")
+        new = spark.read.schema(new.schema).parquet(f"{staged}/all")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(staged)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    new.unpersist()
 
 
 def load_patient(spark: SparkSession, path: str, patient: str, key: str = "patient") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from carepath.operators import graph
@@ -19,10 +20,11 @@ def keep_graphs(spark: SparkSession, root: str, nodes_path: str, edges_path: str
     def put(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        n = graph.nodes(fhir.records(fhir.entries(batch))).persist()
-        store.replace_patients(n, nodes_path)
-        e = graph.edges(n).unionByName(graph.precedes(graph.series(n, graph.same_measurement(n)), n))
-        store.replace_patients(e, edges_path)
-        n.unpersist()
+        rows = fhir.entries(batch).persist()  # every typed table reads them
+        store.replace_patients(graph.nodes(fhir.records(rows)), nodes_path)
+        touched = rows.select(F.col("source").alias("patient")).distinct()
+        n = spark.read.parquet(nodes_path).drop("part").join(touched, "patient", "left_semi")
+        store.replace_patients(graph.edges(n).unionByName(graph.precedes(graph.series(n, graph.same_measurement(n)), n)), edges_path)
+        rows.unpersist()
 
     return arrived.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

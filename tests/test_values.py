@@ -100,3 +100,11 @@ def test_reports(spark):
     assert [r["x"] for r in moved.select(reports.grounding(moved).alias("x")).collect()] == ["misplaced", "ungrounded", None]
     tagged, left = reports.filed(df.select("report_id").withColumn("tag", reports.patient_tag(F.lit("p"))), spark.createDataFrame([("p",)], "patient string"))
     assert tagged.count() == 1 and left.count() == 0
+
+
+def test_store_takes_no_rows(spark, tmp_path):
+    path = str(tmp_path / "nodes")
+    rows = spark.createDataFrame([("a", "1")], "patient string, node string")
+    store.replace_patients(rows, path)
+    store.replace_patients(rows.limit(0), path)
+    assert spark.read.parquet(path).count() == 1
