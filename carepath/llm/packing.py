@@ -4,8 +4,10 @@ A configuration is a multiset of piece lengths that fits one sequence; the progr
 fewest uses of configurations that cover the histogram. It is solved by multiplicative weights:
 in each round a knapsack dynamic program prices the lengths (best worth at every capacity), each
 length's dearest configuration is used as far as demand lasts, and the prices of lengths left
-uncovered rise while those that ran out fall. The mean of the rounds is rounded down; what is
-left is packed best-fit decreasing, on counts. The histogram has at most as many rows as a
+uncovered rise while those that ran out fall; what the round left uncovered is covered from the
+lengths with demand left. The mean of the rounds is rounded against the remaining demand, largest
+remainders first; what is left, fewer pieces than lengths, is packed best-fit decreasing, on
+counts. The histogram has at most as many rows as a
 sequence has tokens, whatever the input, so this part runs on the driver; it gives a table of
 configurations with counts. Pieces are then numbered within their length (in salted ranges, for
 one length may hold most rows) and the number decides the sequence and the place in it.
@@ -17,8 +19,9 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -155,30 +158,66 @@ def _configuration(first: int, lengths: np.ndarray, pick: np.ndarray, size: int)
     return found
 
 
+def _remaining(first: int, lengths: list[int], pick: list[int], left: list[float], below: list[int], size: int) -> dict[int, int]:
+    """A configuration of lengths with demand left only: the dearest ones, or the longest where those ran out."""
+
+    def longest(k: int) -> int:
+        top = k
+        while top >= 0 and left[top] <= 0:
+            top = below[top]
+        while k > top:
+            below[k], k = top, below[k]
+        return top
+
+    found, c = {first: 1}, size - lengths[first]
+    while c >= lengths[0]:
+        k = pick[c]
+        if k < 0 or left[k] < found.get(k, 0) + 1:
+            k = longest(bisect_right(lengths, c) - 1)
+            while k >= 0 and k in found and left[k] < found[k] + 1:
+                k = longest(below[k])
+            if k < 0:
+                break
+        found[k] = found.get(k, 0) + 1
+        c -= lengths[k]
+    return found
+
+
 def solve(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[dict[tuple, float], float]:
-    """Fractional uses of configurations (tuples of (place of the length, copies)), and a lower bound of the program."""
+    """Fractional uses of configurations (tuples of (place of the length, copies)) that cover the demand, and a lower bound of the program."""
     prices, uses, bound = lengths / size, Counter(), float((lengths * demand).sum() / size)
+    plain = [int(x) for x in lengths]
     for _ in range(ROUNDS):
         worth, pick = knapsack(lengths, prices, size)
         bound = max(bound, float((prices * demand).sum() / worth[size]))
-        left, short = demand.astype(float), np.zeros(len(lengths))
-        for i in range(len(lengths) - 1, -1, -1):
-            if left[i] <= 0:
-                continue
-            made = _configuration(i, lengths, pick, size)
+        left = [float(d) for d in demand]
+
+        def use(made: dict[int, int], left: list[float] = left) -> None:
             n = min(left[k] / a for k, a in made.items())
             if n > 0:
                 uses[tuple(sorted(made.items()))] += n / ROUNDS
                 for k, a in made.items():
                     left[k] -= n * a
-        short = left / demand
+                    if left[k] < 1e-9:
+                        left[k] = 0.0
+
+        for i in range(len(plain) - 1, -1, -1):
+            if left[i] > 0:
+                use(_configuration(i, lengths, pick, size))
+        short = np.array(left) / demand
+        picks, below = pick.tolist(), list(range(-1, len(plain) - 1))
+        for i in range(len(plain) - 1, -1, -1):
+            while left[i] > 0:
+                use(_remaining(i, plain, picks, left, below, size))
         prices = prices * np.exp(STEP * (short - short.mean()))
     return uses, bound
 
 
-def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple, int]]:
-    """Best-fit decreasing on counts: (lengths in order as (length, copies), uses)."""
+def best_fit(counts: dict[int, int], size: int, begun: Iterable[tuple[tuple, int]] = ()) -> list[tuple[tuple, int]]:
+    """Best-fit decreasing on counts, into the room of sequences begun before too: (lengths in order as (length, copies), uses)."""
     free: dict[int, list] = {}
+    for made, k in begun:
+        free.setdefault(size - sum(length * a for length, a in made), []).append([made, k])
     for length in sorted(counts, reverse=True):
         n = counts[length]
         while n > 0:
@@ -199,23 +238,41 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple, int]]:
     return [(made, k) for groups in free.values() for made, k in groups]
 
 
+def rounded(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[Counter, np.ndarray, float]:
+    """Whole uses of configurations (tuples of (length, copies), longest first), the demand they leave, and the lower bound.
+
+    Fractional uses are rounded down, then up in the order of what that cut off, as far as demand
+    lasts; the program is solved again for what is left, until fewer pieces are left than there are
+    lengths. A pass uses configurations with little room left, each pass twice as much as the one before.
+    """
+    left, chosen, bound, room = demand.copy(), Counter(), 0.0, size // 256
+    while left.any():
+        at, before = np.flatnonzero(left), left.sum()
+        uses, b = solve(lengths[at], left[at], size)
+        bound = max(bound, b)  # what is left needs no more than the whole
+        full = [made for made in sorted(uses) if size - sum(int(lengths[at[k]]) * a for k, a in made) <= room]
+        rest = {made: uses[made] - int(uses[made]) for made in full}
+        for up, order in ((0, full), (1, sorted(full, key=lambda made: (-rest[made], made[::-1])))):
+            for made in order:
+                n = min(1 if up else int(uses[made]), *(int(left[at[k]]) // a for k, a in made))
+                if n > 0:
+                    chosen[tuple((int(lengths[at[k]]), a) for k, a in reversed(made))] += n
+                    for k, a in made:
+                        left[at[k]] -= n * a
+        if left.sum() < len(lengths) or (room >= size and left.sum() == before):
+            break
+        room = 2 * room + 1
+    return chosen, left, bound
+
+
 def plan(histogram: dict[int, int], size: int = SEQUENCE) -> tuple[list[tuple[tuple, int]], float]:
     """Configurations with uses that cover the histogram exactly, and a lower bound of their number."""
     lengths = np.array(sorted(k for k in histogram if histogram[k] > 0), np.int64)
     if not len(lengths):
         return [], 0.0
     demand = np.array([histogram[int(k)] for k in lengths], np.int64)
-    uses, bound = solve(lengths, demand, size)
-    left, out = demand.copy(), []
-    for made, x in sorted(uses.items(), key=lambda m: (-m[1], m[0])):
-        n = min(int(x), *(int(left[k]) // a for k, a in made))
-        if n > 0:
-            out.append((tuple((int(lengths[k]), a) for k, a in reversed(made)), n))
-            for k, a in made:
-                left[k] -= n * a
-    out += best_fit({int(k): int(n) for k, n in zip(lengths, left, strict=True) if n}, size)
-    plain = best_fit({int(k): int(n) for k, n in zip(lengths, demand, strict=True)}, size)
-    return min(out, plain, key=lambda p: sum(n for _, n in p)), bound
+    chosen, left, bound = rounded(lengths, demand, size)
+    return best_fit({int(k): int(n) for k, n in zip(lengths, left, strict=True) if n}, size, sorted(chosen.items())), bound
 
 
 def places(chosen: list[tuple[tuple, int]]) -> dict[str, np.ndarray]:

@@ -369,3 +369,18 @@ def test_plan_is_near_its_bound():
         for length, a in made:
             covered[length] += a * n
     assert covered == histogram and sum(n for _, n in chosen) <= bound * 1.02 + 1
+
+
+@pytest.mark.parametrize("times", [1, 7])
+def test_program_places_all_but_fewer_pieces_than_lengths(times, monkeypatch):
+    r, given = random.Random(6), []
+    histogram = {k: times * n for k, n in Counter(min(2048, int(r.expovariate(1 / 500)) + 1) for _ in range(3000)).items()}
+    fit = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda counts, *rest: given.append(sum(counts.values())) or fit(counts, *rest))
+    chosen, bound = packing.plan(histogram)
+    covered = Counter()
+    for made, n in chosen:
+        for length, a in made:
+            covered[length] += a * n
+    assert covered == histogram and max(given) < len(histogram)
+    assert sum(n for _, n in chosen) <= bound * 1.005 + 1
