@@ -36,7 +36,7 @@ BANDS, ROWS, BATCH, MISS = 24, 4, 16, 1e-5
 HASHES = BANDS * ROWS
 #: Classes in a bucket that is compared at once; classes in a block of a larger one; likest partners kept for each class of a block.
 SMALL, BLOCK, LIKEST = 32, 128, 2
-#: Ids up to which a list of them is broadcast (8 bytes each); longer ones are joined by a shuffle.
+#: Ids or rows up to which a list of them is broadcast (8 or 16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 KEPT_WORDS = 50_000
 SEED = 71
@@ -84,19 +84,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set; null for none) and signature of every row."""
+    """doc_id, text_key, n_shingles, key (digest of the set; null for none) and signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), width, words)
+            sets = shingle_sets(b.column(2).to_pylist(), width, words)
             sig = iter(signatures([s for s in sets if len(s)]))
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sigs = [next(sig).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_key", "n_shingles", "key", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, key binary, sig binary")
 
 
 def _full_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -285,6 +285,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _precedence() -> Column:
+    """What decides which row of a group stays: the least."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     ends = labels.select("node", "root")
@@ -293,16 +298,14 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return x.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "share")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def _grouped(docs: DataFrame, *, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and stays of every row.
 
-    Links have a Jaccard similarity of percent/100 or more between sets of `width`-word shingles.
-    component_id is the smallest doc_id reachable. A text without words (null, empty, blank) is
-    linked with nothing and its own component. Rows that repeat a doc_id are kept alike.
-    doc_id is an integer; other columns are not looked at.
+    `stays` marks of each group the row with the smallest id (null ids last, ties by a hash of the
+    text), and every row without words.
     """
     rows = stored(sketches(docs, id_col=id_col, text_col=text_col, width=width), "sketches")
-    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(_precedence()).alias("best"), F.first("sig").alias("sig")), "classes")
     bands = _bands(classes)
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(bands.join(shared.hint("merge"), "bucket"), "members")
@@ -329,32 +332,48 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not found.isEmpty():
             labels = components(as_links(labels).unionByName(found))
 
-    rooted = classes.select("key", "rep").join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = rooted.join(least.hint("merge"), "root").select("key", "component_id")
+    rooted = classes.select("key", "rep", "best").join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("best").alias("best"))
+    of_class = rooted.drop("best").join(least.hint("merge"), "root").select("key", "component_id", "best")
     # copies of one text share a key; the adaptive join splits the rows of a hot one
-    out = rows.select("doc_id", "n_shingles", "key").join(of_class.hint("merge"), "key", "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "key").join(of_class.hint("merge"), "key", "left")
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "text_key", "n_shingles", "component_id", (F.col("key").isNull() | (_precedence() == F.col("best"))).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    Links have a Jaccard similarity of percent/100 or more between sets of `width`-word shingles.
+    component_id is the smallest doc_id reachable. A text without words (null, empty, blank) is
+    linked with nothing and its own component. Rows that repeat a doc_id are kept alike.
+    doc_id is an integer; other columns are not looked at.
+    """
+    out = _grouped(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that stay: of each group the one with the smallest id; same columns.
 
-    Of rows that repeat the id that stays one is kept.
+    Rows are told apart by id and text, so ids may be null or repeated. A null id comes after all
+    others, and a hash of the text decides between equal ids. Of rows that agree in id and text
+    one stays; rows with neither an id nor words all stay.
     """
-    found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, percent=percent), "near-duplicates")
-    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "dropped")
+    found = stored(_grouped(docs, id_col=id_col, text_col=text_col, width=width, percent=percent), "near-duplicates")
+    row = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")]
+    gone = stored(found.where(~F.col("stays")).select(*row).distinct(), "dropped")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__text"))
     stay = docs.join(gone, same, "left_anti")
-    again = stored(found.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and __id is not null").select("__id"), "repeated")
+    some = found.where("stays and (n_shingles > 0 or doc_id is not null)")
+    again = stored(some.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", "__text"), "repeated")
     if again.isEmpty():
         return stay
     if again.count() <= BROADCAST_IDS:
         again = F.broadcast(again)
-    once = stay.join(again, same, "left_semi").dropDuplicates([id_col])
+    once = stay.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
     return stay.join(again, same, "left_anti").unionByName(once)
 
 

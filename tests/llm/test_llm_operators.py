@@ -129,6 +129,16 @@ def test_deduplicated_keeps_one_of_each_group(docs, rows):
     assert sorted(ids, key=lambda x: (x is None, x)) == sorted(want, key=lambda x: (x is None, x))
 
 
+def test_deduplicated_tells_rows_apart_by_id_and_text(spark):
+    r = random.Random(9)
+    a, b, c, d, e = (prose(r, 60) for _ in range(5))
+    data = [(1, a), (None, a + " end"), (None, b), (None, c), (None, c), (None, c + " end"), (7, a), (7, d), (7, e), (8, d), (None, ""), (None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = Counter((x["doc_id"], x["text"]) for x in near_dup.deduplicated(df).collect())
+    of_c = {(None, c), (None, c + " end")} & set(kept)
+    assert len(of_c) == 1 and kept == Counter([(1, a), (None, b), *of_c, (7, d), (7, e), (None, ""), (None, "")])
+
+
 # ---- 3
 
 
