@@ -2,8 +2,8 @@
 
 A text is the normalised TF-IDF vector of its hashed byte 2- and 3-grams. Each language has
 several centroids, found by spherical k-means among its labelled rows; a text gets the language
-of the centroid with the largest cosine, and is rejected where its distance is far beyond that
-of labelled texts of its length.
+of the centroid with the largest cosine, and is rejected where its distance is beyond that of
+nearly all labelled texts of its length that a clustering has not seen.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 CELLS, CENTROIDS, STEPS = 1 << 13, 16, 8
 #: Labelled rows of a language and of all languages that the fit uses, about, by hash of the id; and the most languages there may be.
 ROWS_PER_LANG, ROWS, MAX_LANGS = 600, 3000, 200
-#: A text is rejected under this share of the usual cosine at its length.
-REJECT = 0.12
+#: Which rows of the sample set the cut (one of so many), the share of them that may fall under it, and the deviations from their mean that it is below at least.
+EVERY, QUANTILE, DEVIATIONS = 4, 0.002, 4
 #: Bytes worked on at once; longer texts are counted slice by slice.
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -54,12 +54,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """idf of the cells, unit centroids with their languages, and the usual cosine by length (log2 of the grams)."""
+    """idf of the cells, unit centroids with their languages, the usual cosine by length (log2 of the grams), and the share of it under which a text is rejected."""
 
     idf: np.ndarray
     centroids: np.ndarray
     langs: tuple[str, ...]
     usual: np.ndarray
+    cut: float
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts) * self.idf)
@@ -70,7 +71,7 @@ class Model:
         best = cosine.argmax(axis=1)
         top = np.clip(cosine[np.arange(len(best)), best], 0, 1)
         size = np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int), len(self.usual) - 1)
-        return best, top, top < REJECT * self.usual[size]
+        return best, top, top < self.cut * self.usual[size]
 
 
 def _clusters(unit: np.ndarray, k: int) -> np.ndarray:
@@ -120,17 +121,27 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     unit *= idf
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-30)
     langs = np.array([g[0] for g in got])
-    names, centers = [], []
+    names, centers, seen = [], [], []
+    tells = np.arange(len(got)) % EVERY == EVERY - 1  # the rows are sorted by language
     for lang in sorted(set(langs)):
         own = unit[langs == lang]
         centers.append(_clusters(own, min(CENTROIDS, 1 + len(own) // 20)))
         names += [lang] * len(centers[-1])
+        own = unit[(langs == lang) & ~tells]
+        if len(own):
+            seen.append(_clusters(own, min(CENTROIDS, 1 + len(own) // 20)))
     centroids = np.vstack(centers)
     cosine = (unit @ centroids.T).max(axis=1)
     known = np.array([np.median(cosine[size == s]) if (size == s).sum() >= 5 else np.nan for s in range(32)])
     known[0] = 0.0 if np.isnan(known[0]) else known[0]
     at = np.flatnonzero(~np.isnan(known))
-    return Model(idf, centroids.astype(np.float32), tuple(names), np.interp(np.arange(32), at, known[at]))
+    usual = np.interp(np.arange(32), at, known[at])
+    cut = 0.0
+    if tells.any():
+        share = (unit[tells] @ np.vstack(seen).T).max(axis=1) / np.maximum(usual[size[tells]], 1e-9)
+        # few rows say little about a quantile, so the cut is below it and below what their spread makes likely
+        cut = max(0.0, min(np.quantile(share, QUANTILE), share.mean() - DEVIATIONS * share.std()))
+    return Model(idf, centroids.astype(np.float32), tuple(names), usual, float(cut))
 
 
 def detect(model: Model | None) -> F.udf:

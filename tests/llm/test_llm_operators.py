@@ -71,6 +71,16 @@ def test_language(spark, empty):
     assert none["lang_pred"] == "und" and none["score"] == 0
 
 
+def test_language_left_out_of_training_is_rejected(spark):
+    r = random.Random(8)
+    kinds = {"xx": "ba de ki lo nu pra ste".split(), "yy": "ort ung ein sch af il".split(), None: "ba de ki lo nu zon wex".split()}
+    text = lambda k: " ".join("".join(r.choices(kinds[k], k=r.randint(1, 4))) for _ in range(60))
+    data = [(i, text(k), k) for i in range(600) for k in (["xx", "yy", None][i % 3],)]
+    got = language.language_id(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()
+    lang = {i: k for i, _, k in data}
+    assert all(x["rejected"] == (lang[x["doc_id"]] is None) for x in got)
+
+
 # ---- 2
 
 
