@@ -51,6 +51,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def valid(text: Column) -> Column:
+    """The text with U+FFFD for what is no UTF-8, so that Python can read it; others stay as they are."""
+    return F.make_valid_utf8(text)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

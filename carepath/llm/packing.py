@@ -15,8 +15,10 @@ one length may hold most rows) and the number decides the sequence and the place
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right
@@ -26,27 +28,38 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carepath.llm.common import stored
+from carepath.llm.common import stored, valid
+from carepath.llm.prefix_counts import byte_letters
 
 #: Tokens of a sequence, rounds of the program and how far one round moves a price.
 SEQUENCE, ROUNDS, STEP = 2048, 24, 0.15
-#: Parts between blanks and pieces of them that a task remembers before it begins anew.
-KEPT_CHUNKS, KEPT_PIECES = 300_000, 800_000
-#: Fixed value: the pieces that word_bpe_49k.json cuts lower-cased text into.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Parts between blanks that a task remembers in each of two generations, and the longest it keeps.
+KEPT_PARTS, KEPT_CHARS = 300_000, 64
 #: Texts of these characters only are cut at blanks and their parts looked up; others go to the library whole.
-PLAIN = re.compile(r"[\x00-\x1B\x20-ɏ]*")
+PLAIN = re.compile(r"[\x00-\x1B\x20-\u024F]*")
+
+
+def _of_kind(kind: str) -> str:
+    """The characters of PLAIN whose category begins so, for a pattern."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: Fixed value: the pieces that word_bpe_49k.json cuts lower-cased text into, for plain text, and line ends.
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_of_kind('L')}]+|[{_of_kind('N')}]|[^\s{_of_kind('L')}{_of_kind('N')}]+|\n")
 
 
 class Encoder:
-    """The library's ids of whole texts, as bytes, remembering the parts between blanks (bounded).
+    """The library's ids of whole texts, as bytes, remembering the parts between blanks.
 
-    This vocabulary drops blanks and never joins across them, so a text's ids are those of its parts.
+    This vocabulary drops blanks and never joins across them, so a text's ids are those of its
+    parts. New parts of a batch are cut into pieces and encoded together, as one line, by the same
+    merges; each piece ends with the one token that closes a word, which tells the parts apart.
+    Parts that are used live on: a full generation becomes the old one, and what is found there
+    moves to the young one.
     """
 
     def __init__(self, name: str) -> None:
@@ -54,40 +67,64 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.remember = KEPT_PIECES
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Remembers the ids of parts without blanks."""
-        if len(self.pieces) > self.remember:
-            self.pieces.clear()
-        low = [c.lower() for c in chunks]
-        cut = [[c] if c.isalpha() else PIECES.findall(c) for c in low]
-        new = list({p for ps in cut for p in ps if p not in self.pieces})
-        self.pieces.update(zip(new, self._ids(new), strict=True))
-        ids = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(ids, ps))) for c, ps in zip(chunks, cut, strict=True))
+        path = name if "/" in name else public_tokenizers.path(name)
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        # pieces come cut and with their bytes as letters
+        self.cut = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.letters = "".join({0x0A: "\n", 0x20: " "}.get(b, c) for b, c in sorted(byte_letters().items()))
+        vocabulary, end = self.cut.get_vocab(), spec["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.remember = KEPT_PARTS
+
+    def _learn(self, parts: list[str]) -> None:
+        """Puts the ids of new parts without blanks into the young generation."""
+        pieces = PIECES.findall("\n".join(parts).lower() + "\n")
+        line = " ".join(pieces)
+        if not line.isascii():
+            line = line.encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.cut.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        piece_ends = np.r_[0, np.flatnonzero(self.closes[ids]) + 1]
+        line_ends = np.flatnonzero(np.fromiter(map("\n".__eq__, pieces), bool, len(pieces)))
+        ends = 4 * piece_ends[line_ends - np.arange(len(line_ends))]
+        data, at = ids.tobytes(), 0
+        for part, end in zip(parts, ends.tolist(), strict=True):
+            self.young[part], at = data[at:end], end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for t in texts:
-            plain = PLAIN.fullmatch(t) and not any(s in t for s in self.specials)
-            parts.append(t.split() if plain else None)
-        every = {c for p in parts if p for c in p}
-        new = [c for c in every if c not in self.chunks]
-        if len(self.chunks) + len(new) > min(KEPT_CHUNKS, self.remember):
-            self.chunks.clear()
-            new = list(every)
-        self._learn(new)
-        ids = self.chunks.__getitem__
-        odd = iter(self._ids([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(odd) if p is None else b"".join(map(ids, p)) for p in parts]
+        parts = [t.split() if PLAIN.fullmatch(t) and not any(s in t for s in self.specials) else None for t in texts]
+        if len(self.young) > self.remember:
+            self.old, self.young = self.young, {}
+        flat = [c for p in parts if p for c in p]
+        found = list(map(self.young.get, flat))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new = []
+        for c in {flat[k] for k in missing}:
+            if (ids := self.old.get(c)) is None:
+                new.append(c)
+            else:
+                self.young[c] = ids
+        if new:
+            self._learn(new)
+        for k in missing:
+            found[k] = self.young[flat[k]]
+        for c in new:
+            if len(c) > KEPT_CHARS:
+                del self.young[c]
+        odd, at, out = [t for t, p in zip(texts, parts, strict=True) if p is None], 0, []
+        whole = iter(self.whole.encode_batch_fast(odd, add_special_tokens=False) if odd else [])
+        for p in parts:
+            if p is None:
+                out.append(array("I", next(whole).ids).tobytes())
+            else:
+                out.append(b"".join(found[at : at + len(p)]))
+                at += len(p)
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -95,11 +132,11 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SEQUENCE, remember: int = KEPT_PIECES) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SEQUENCE, remember: int = KEPT_PARTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and ids (little-endian 32-bit) of every piece of every row.
 
-    A Python worker remembers the ids of `remember` pieces at most from one task to the next, about
-    0.2 kB each; fewer take more time and leave memory to what else runs there.
+    A Python worker remembers the ids of twice `remember` parts at most from one task to the next,
+    about 0.2 kB each; fewer take more time and leave memory to what else runs there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +162,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
                 ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), valid(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
@@ -319,7 +356,7 @@ def pack(cut: DataFrame, *, size: int = SEQUENCE) -> DataFrame:
     return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SEQUENCE, remember: int = KEPT_PIECES) -> DataFrame:
+def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", size: int = SEQUENCE, remember: int = KEPT_PARTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
     A null text is empty and still has its closing id 0. Texts longer than a sequence are cut

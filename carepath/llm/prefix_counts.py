@@ -34,7 +34,7 @@ UNEVEN = ("\t", "\x0b", "\x0c", "\r", "\x85", "\xa0", "  ", " \n", "\n ", "\n\n"
 LIMIT = 512
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in the vocabulary: printable Latin-1 stands for itself, the rest follow from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -47,7 +47,7 @@ class PrefixCounter:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        byte_of = {c: b for b, c in _byte_letters().items()}
+        byte_of = {c: b for b, c in byte_letters().items()}
         as_bytes = lambda token: bytes(byte_of[c] for c in token)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         # numbered by merge: the 256 bytes, then what each merge makes; a byte splits into itself
