@@ -21,19 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carepath.llm.common import valid
 from carepath.llm.page_maker import labelled_pages
 
 #: Labelled pages that the model is trained on.
 TRAINING_PAGES = 800
-#: Runs of text whose evidence counts in full; of more, each counts for less, so that a hundred short paragraphs don't outweigh where they stand.
-RUNS = 5
+#: Elements nested deeper than this hang at this depth, as in browsers; no text goes.
+DEPTH = 512
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TO_QUOTE_OR_END = re.compile(r"[^\"'>]*")
 _HINTS = re.compile(r"(?:^|\s)(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: Elements whose inside is no text of the page.
-_DARK = frozenset("script style title textarea noscript template svg iframe select object canvas audio video math".split())
+#: Elements whose inside is script, style, a form's or the head's and no text of the page; their closing tags.
+_DARK = {t: re.compile(rf"</{t}(?![^\s/>])", re.I) for t in "script style title textarea select".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a run of text.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
@@ -79,72 +81,113 @@ def _hint(attributes: str) -> int:
     return (1 if words & _AGAINST else 0) + (2 if words & _FOR else 0)
 
 
+def _references(text: str) -> str:
+    """Decodes character references; numbers too large for any character become U+FFFD."""
+    if "&#" in text:
+        text = _MANY_ZEROS.sub(r"\1", text)
+        text = _TOO_LARGE.sub("\uFFFD", text)
+    return html.unescape(text)
+
+
+_MANY_ZEROS = re.compile(r"(&#[xX]?)0+(?=[0-9a-fA-F])")
+_TOO_LARGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+
+
+def tags(source: str) -> Iterator[tuple[str, bool, str, str, bool]]:
+    """(text before, closing, tag, attributes, last) of every tag in order; the last has the text that is left.
+
+    Each place is looked at a bounded number of times. A quote that never closes is a plain
+    character; a tag or comment that never ends takes the rest of the page, as in browsers.
+    """
+    at, n, text = 0, len(source), 0
+    last = {q: source.rfind(q) for q in "'\""}
+    while (lt := source.find("<", at)) >= 0:
+        after = source[lt + 1 : lt + 4]
+        if after[:1] in ("!", "?"):
+            end = source.find("-->" if after == "!--" else ">", lt + 2)
+            yield source[text:lt], False, "", "", False
+            at = text = n if end < 0 else end + (3 if after == "!--" else 1)
+            continue
+        closing = after[:1] == "/"
+        name = _NAME.match(source, lt + 1 + closing)
+        if not name:
+            at = lt + 1
+            continue
+        k = name.end()
+        while k < n:
+            k = _TO_QUOTE_OR_END.match(source, k).end()
+            if k >= n or source[k] == ">":
+                break
+            k = k + 1 if last[source[k]] == k else source.find(source[k], k + 1) + 1
+        yield source[text:lt], closing, name.group().lower(), source[name.end() : k], False
+        at = text = k + 1
+        if not closing and (dark := _DARK.get(name.group().lower())) and not source.endswith("/", name.end(), k):
+            found = dark.search(source, at)
+            end = source.find(">", found.end()) if found else -1
+            at = text = n if end < 0 else end + 1
+    yield source[text:], False, "", "", True
+
+
 def add_page(pages: Pages, source: str) -> int:
-    """Adds a page's nodes; its root. Tags need not be closed or well nested."""
+    """Adds a page's nodes; its root. Tags need not be closed or well nested.
+
+    Open elements are kept in a stack and, for each tag, as a list of places in it, so that what a
+    tag closes is found without a search.
+    """
     root = pages.add(-1, _KINDS["body"])
     stack: list[tuple[str, int]] = [("html", root)]
+    open_at: dict[str, list[int]] = {}
     run: list[str] = []
-    linked, in_link, at, n = 0, 0, 0, len(source)
+    linked, in_link = 0, 0
 
     def end_run() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(run)).split()) if run else ""
+        text = " ".join(_references("".join(run)).split()) if run else ""
         if text:
             share = linked / len(text)
             size = 0 if len(text) < 20 else 1 if len(text) < 80 else 2 if len(text) < 200 else 3
-            pages.add(stack[-1][1], _TEXT, 0, size, 0 if share < 0.1 else 1 if share < 0.6 else 2, text)
+            pages.add(stack[min(len(stack), DEPTH) - 1][1], _TEXT, 0, size, 0 if share < 0.1 else 1 if share < 0.6 else 2, text)
         run.clear()
         linked = 0
 
-    while at < n:
-        m = _TAG.search(source, at)
-        chunk = source[at : m.start()] if m else source[at:]
-        if chunk:
-            run.append(chunk)
+    def nearest(names: tuple[str, ...]) -> int:
+        return max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
+
+    def close(k: int) -> None:
+        while k and len(stack) > k:
+            open_at[stack.pop()[0]].pop()
+
+    for text, closing, tag, attributes, last in tags(source):
+        if text:
+            run.append(text)
             if in_link:
-                linked += len(chunk)
-        if not m:
-            break
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if tag is None:
+                linked += len(text)
+        if last or not tag:
             continue
-        tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
             continue
         if tag in _DARK:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else n
             continue
         if tag in _VOID:
             run.append(" ")
             if tag == "hr":
                 end_run()
             continue
+        end_run()
         if tag in ("html", "head"):
-            end_run()
             continue
-        end_run()
         in_link = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            close(nearest((tag,)))
             continue
         if tag in _P_ENDS and stack[-1][0] == "p":
-            stack.pop()
-        elif tag in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in _SCOPE.get(tag, ()):
-                    break
-                if stack[k][0] in _CLOSES[tag]:
-                    del stack[k:]
-                    break
-        stack.append((tag, pages.add(stack[-1][1], _KINDS.get(tag, _OTHER), _hint(attributes))))
+            close(len(stack) - 1)
+        elif tag in _CLOSES and (k := nearest(_CLOSES[tag])) > nearest(_SCOPE.get(tag, ())):
+            close(k)
+        open_at.setdefault(tag, []).append(len(stack))
+        stack.append((tag, pages.add(stack[min(len(stack), DEPTH) - 1][1], _KINDS.get(tag, _OTHER), _hint(attributes))))
     end_run()
     return root
 
@@ -163,10 +206,7 @@ class Model:
         """The probability of content of every node, by messages up and down all trees at once."""
         parent, depth, kind = np.array(p.parent), np.array(p.depth), np.array(p.kind)
         leaf = kind == _TEXT
-        page = np.cumsum(depth == 0) - 1
-        runs = np.bincount(page[leaf], minlength=page[-1] + 1 if len(page) else 0)
-        weight = np.minimum(1.0, RUNS / np.maximum(runs, 1))[page]
-        up = np.where(leaf[:, None], weight[:, None] * (self.size[np.array(p.size)] + self.links[np.array(p.links)]), self.hint[np.array(p.hint)])
+        up = np.where(leaf[:, None], self.size[np.array(p.size)] + self.links[np.array(p.links)], self.hint[np.array(p.hint)])
         order = np.argsort(depth, kind="stable")
         levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
         sent = np.zeros((len(kind), 2))
@@ -213,8 +253,10 @@ def train(pages: Iterator[tuple[str, set[str]]]) -> Model:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page, from the whole html.
 
-    A null or empty html gives an empty text. Repeated rows come back as often; other columns are
-    not looked at. One pass without a shuffle.
+    A null or empty html gives an empty text, an empty table no row, and what is no UTF-8 becomes
+    U+FFFD. A run of text whose two marginals tie is content. Time grows with the length of a page,
+    whatever its markup. Repeated rows come back as often; other columns are not looked at. One
+    pass without a shuffle.
     """
     model = train(labelled_pages(TRAINING_PAGES))
 
@@ -227,5 +269,5 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             texts = [" ".join(p.text[k] for k in range(a, z) if p.text[k] is not None and content[k]) for a, z in zip(roots, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), valid(F.col(url_col)).alias("url"), valid(F.col(html_col)).alias("html"))
     return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -18,10 +18,12 @@ from itertools import accumulate
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from carepath.llm.common import valid
+
 #: Fixed value: the pieces that byte_bpe_50k.json cuts a text into (the ByteLevel pattern).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Up to here the pattern and the library agree on the class of every code point; texts with later ones are cut by the library.
@@ -174,39 +176,50 @@ class PrefixCounter:
             self._chunks[name] = n
         return n
 
-    def prefixes(self, text: str) -> list[int]:
-        """The exact token count of text[:k] for every k from 0 to its length.
+    def _within(self, text: str, start: int, piece: str, before: int, back: tuple[int, int]) -> list[int]:
+        """The exact token count of text[: start + j] for j from 1 to the length of the piece there.
 
-        A prefix that ends inside a piece is cut anew from the piece before it, for a run of
-        blanks is cut differently when no word follows it.
+        A prefix of a run is one piece again, so the run's own table answers it. Only a prefix that
+        ends in its leading blank, in a contraction or in a special string is cut otherwise, and
+        with what stands before it: those few are counted from `back`, the start of the piece
+        before and the tokens up to there.
         """
-        out, starts, before = [0], [0], [0]
-        for piece, n in self.pieces(text):
-            k = max(0, len(starts) - 2)
-            base, at, end = before[k], starts[k], starts[-1]
-            ends = len(piece) + piece.isspace()  # a run of blanks is cut otherwise when no word follows
-            out += [base + self.count(text[at : end + j]) for j in range(1, ends)]
-            out += [before[-1] + n] * (ends == len(piece))
-            starts.append(end + len(piece))
-            before.append(before[-1] + n)
+        anew = lambda j: back[1] + self.count(text[back[0] : start + j])
+        if piece in self.specials or (piece[0] == "'" and len(piece) > 1 and piece[1].isalpha()):
+            return [*map(anew, range(1, len(piece))), before + (1 if piece in self.specials else self._piece(piece))]
+        table = self.table(piece.encode())
+        ends = range(1, len(piece) + 1) if piece.isascii() else accumulate(len(c.encode()) for c in piece)
+        out = [before + table[end] for end in ends]
+        if piece[0].isspace():
+            out[0] = anew(1)
         return out
 
-    def longest_prefix(self, text: str, budget: int) -> int:
-        """The most code points of the text whose exact count is within the budget."""
+    def _places(self, text: str) -> tuple[list[str], list[int], list[int]]:
+        """The pieces, where each starts, and the tokens before each (and after the last)."""
         pieces = [*self.pieces(text)]
-        totals = [0, *accumulate(n for _, n in pieces)]
-        if totals[-1] <= budget:
+        return [p for p, _ in pieces], [0, *accumulate(len(p) for p, _ in pieces)], [0, *accumulate(n for _, n in pieces)]
+
+    def prefixes(self, text: str) -> list[int]:
+        """The exact token count of text[:k] for every k from 0 to its length: the text's prefix table."""
+        pieces, starts, before = self._places(text)
+        out = [0]
+        for k, piece in enumerate(pieces):
+            back = max(0, k - 1)
+            out += self._within(text, starts[k], piece, before[k], (starts[back], before[back]))
+        return out
+
+    def longest_prefix(self, text: str, budget: int) -> int:
+        """The most code points of the text whose exact count is within the budget, from the tables of the pieces at the border."""
+        pieces, starts, before = self._places(text)
+        if before[-1] <= budget:
             return len(text)
-        # each piece adds one token at least: the answer ends in the last piece that starts below the budget
-        k = min(max(0, bisect_left(totals, budget) - 2), len(pieces) - 1)
-        starts = [0, *accumulate(len(p) for p, _ in pieces)]
-        best, back = starts[k], max(0, k - 1)
-        for upto in (k, k + 1, k + 2):
-            if upto < len(pieces):
-                for j in range(starts[upto] + 1, starts[upto + 1] + 1):
-                    if totals[back] + self.count(text[starts[back] : j]) <= budget:
-                        best = j
-        return best
+        # what stands before the piece before it is whole in every prefix and leaves one token at least
+        for k in range(min(bisect_left(before, budget), len(pieces) - 1), -1, -1):
+            back = max(0, k - 1)
+            counts = self._within(text, starts[k], pieces[k], before[k], (starts[back], before[back]))
+            if (j := next((j for j in range(len(counts), 0, -1) if counts[j - 1] <= budget), 0)) > 0:
+                return starts[k] + j
+        return 0
 
 
 @lru_cache(maxsize=2)
@@ -220,9 +233,12 @@ def counter(name: str) -> PrefixCounter:
 def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit and fit_chars of every row, from whole texts.
 
-    fit_chars is the longest prefix in code points within `limit` tokens. A null text counts as
-    empty (0 tokens); repeated rows and null ids come back as they are; other columns are not
-    looked at. One pass without a shuffle; a task keeps one batch and a bounded table of pieces.
+    fit_chars is the longest prefix in code points within `limit` tokens; of equally good ones
+    there is none, as prefixes differ in length. A null text counts as empty (0 tokens), and what
+    is no UTF-8 in a text as U+FFFD. Time grows with the length of a text, be it one line or one
+    word. Repeated rows and null ids come back as they are, an empty table gives no row, and other
+    columns are not looked at. One pass without a shuffle; a task keeps one batch and a bounded
+    table of pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +257,15 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), valid(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def prefix_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id and counts: the exact token count of every code-point prefix, from none to the whole text.
 
-    The stored table answers any truncation or budget question by an array lookup.
+    The stored table answers any truncation (`counts[k]`) or budget question (`fitting`) by a look
+    at the array. Nulls, repeats and empty tables as for `token_counts`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,5 +273,10 @@ def prefix_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokens.prefixes(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "counts"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), valid(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, counts array<int>")
+
+
+def fitting(counts: Column, budget: Column) -> Column:
+    """The most code points within the budget, by a prefix table."""
+    return F.array_max(F.transform(counts, lambda n, k: F.when(n <= budget, k)))
