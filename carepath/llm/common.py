@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python; whole texts can be long, so the default of 10,000 is too many.
 BATCH_ROWS = 256
+#: Where stored tables lie.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -44,7 +47,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, since what follows them is stored itself."""
+    for df in tables:
+        if (path := _PATHS.pop(df, None)) is not None:
+            context = df.sparkSession.sparkContext
+            found = context._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

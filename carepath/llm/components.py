@@ -1,7 +1,9 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Every round is a grouping and an equi-join on node keys; hot nodes are combined before the
-shuffle and their joins are split by the adaptive planner. Nothing is collected.
+shuffle. The joins of a large table read stored sides, as the adaptive planner splits a hot node's
+rows only where both sides come straight from a shuffle. Nothing is collected, and a round's
+tables go when the next one is stored.
 """
 
 from __future__ import annotations
@@ -9,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import stored
+from carepath.llm.common import discard, stored
+
+#: Links up to which a round is one job; hot nodes are no matter in so few rows.
+FEW_LINKS = 1_000_000
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -24,14 +29,16 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _sum(edges)
     while state[0]:
+        side = stored if state[0] > FEW_LINKS else lambda df, name: df
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        nearest = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "nearest")
+        large = side(both.where("v > u").join(nearest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        least = side(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least.hint("merge"), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "links")
+        old, edges = edges, stored(small.distinct(), "links")
         state, before = _sum(edges), state
+        discard(old, nearest, large, least)
         if state == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -5,7 +5,8 @@
 2. Classes that agree in a band of the signature meet in a bucket. Pairs in small buckets are
    compared at once. A large bucket is dealt to blocks: first each block with itself and with one
    pivot block, keeping each class's likest partners, so the work grows with the bucket's size;
-   later only classes outside the bucket's main component are compared, with all of it.
+   later classes outside the bucket's main component are compared with those of it that agree in
+   one more band.
 3. A comparison looks at the signatures in batches and stops as soon as the posterior probability
    that the similarity reaches the threshold falls under MISS.
 4. Survivors are verified on full sets: first each class's likest partner, then, between different
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import stored
+from carepath.llm.common import discard, stored, valid
 from carepath.llm.components import components
 
 #: Bands and their rows, hashes of a batch, and the posterior under which a pair is dropped.
@@ -95,18 +96,27 @@ def sketches(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> Data
             sigs = [next(sig).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_key", "n_shingles", "key", "sig"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), valid(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, key binary, sig binary")
 
 
-def _full_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
+def _full_sets(docs: DataFrame, *, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
             sets = [s for s in shingle_sets(b.column(0).to_pylist(), width, words) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key binary, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "key binary, shingles array<long>")
+
+
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """One hash for each band of each signature."""
+    sig = sig.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2])
+    for k in range(ROWS):
+        h = _mix(h, sig[:, :, k])
+    return h
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -114,11 +124,8 @@ def _bands(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = _matrix(b.column(1).to_pylist()).astype(np.uint64).reshape(-1, BANDS, ROWS)
-            h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2])
-            for k in range(ROWS):
-                h = _mix(h, sig[:, :, k])
-            n = len(sig)
+            h = _band_keys(_matrix(b.column(1).to_pylist()))
+            n = len(h)
             keys = b.column(0).take(pa.array(np.repeat(np.arange(n), BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(h.reshape(-1).view(np.int64)), keys], ["band", "bucket", "key"])
 
@@ -228,48 +235,61 @@ def _first_look(large: DataFrame, percent: int) -> DataFrame:
     return _two_sided(left, right).groupBy("bucket", "x", "y").applyInPandas(run, _PAIR)
 
 
-def _outsider_links(large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links (u, v) between the classes of a large bucket outside its main component and all its others.
+def _outsiders(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, band, key, sig, label and out of the classes of large buckets with several components; out: not in the bucket's main one.
 
-    A group is one block of outsiders with one block of the bucket. Every pair in it of different
-    components is compared, in the first band that it shares, likest first, and verified on full
-    sets unless a link found before it has connected the two components.
+    A bucket's rows meet its main component by (bucket, block), so no task gets a hot bucket whole.
     """
     named = large.join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
-    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("n_labels")).where("n_labels > 1")
-    main = main.select("bucket", F.col("top.label").alias("main"), (F.col("all") - F.col("top.m")).alias("out"))
-    live = named.join(main, "bucket").join(sets.hint("merge"), "key")
-    columns = ["bucket", "x", "y", "band", "key", "sig", "label", "shingles"]
-    left = live.where("label <> main").withColumn("x", _dealt(_blocks("out"))).withColumn("y", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)))
-    right = live.withColumn("y", _dealt(_blocks("n"))).withColumn("x", F.explode(F.sequence(F.lit(0), _blocks("out") - 1)))
+    named = stored(named.withColumn("x", _dealt(_blocks("n"))), "named")
+    sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("n_labels"), F.max("n").alias("n")).where("n_labels > 1")
+    to = main.select("bucket", F.col("top.label").alias("main"), F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("x"))
+    return named.join(to.hint("merge"), ["bucket", "x"]).select("bucket", "band", "key", "sig", "label", (F.col("label") != F.col("main")).alias("out"))
+
+
+def _two_bands(live: DataFrame) -> DataFrame:
+    """sub, key, label and out: each class of a bucket once for each other band that it has; sub stands for the two bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            bucket, band = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            sub = _band_keys(_matrix(b.column(3).to_pylist()))
+            sub = _mix(_mix(np.uint64(1), np.repeat(bucket, BANDS)), sub.reshape(-1))
+            other = np.flatnonzero(np.tile(np.arange(BANDS), n) != np.repeat(band, BANDS))
+            rows = pa.array(other // BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(sub[other].view(np.int64)), *(b.column(k).take(rows) for k in (2, 4, 5))], ["sub", "key", "label", "out"])
+
+    return live.select("bucket", "band", "key", "sig", "label", "out").mapInArrow(run, "sub long, key binary, label binary, out boolean")
+
+
+def _outsider_pairs(large: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Surviving pairs of the classes outside a large bucket's main component with all its others.
+
+    Only classes that agree in a second band are compared: linked pairs of similarity 0.8 share
+    fewer than two bands with probability 6e-5, while unlike classes that one common passage
+    brought into a bucket share no other and part here, so the work grows with the bucket. Where
+    the two bands are still shared by many, a group is one block of outsiders with one block of
+    all; rows carry signatures and labels only.
+    """
+    subs = _two_bands(_outsiders(large, labels))
+    shared = subs.groupBy("sub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("out").cast("long")).alias("outs"), F.min("label").alias("least"), F.max("label").alias("most"))
+    shared = stored(shared.where("outs > 0 and least <> most").select("sub", "n", "outs"), "two-bands")
+    live = stored(subs.join(shared.hint("merge"), "sub").join(classes.select("key", "sig").hint("merge"), "key"), "two-band-members")
+    columns = ["sub", "x", "y", "key", "sig", "label"]
+    deal = lambda n: F.pmod(F.xxhash64("key", "sub"), n).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    left = live.where("out").withColumn("x", deal(blocks("outs"))).withColumn("y", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
+    right = live.withColumn("y", deal(blocks("n"))).withColumn("x", F.explode(F.sequence(F.lit(0), blocks("outs") - 1)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        keys, sig, labels, i, j = _grid(part)
-        i, j, share = likely(sig, i, j, percent)
-        first = np.ones(len(i), bool)
-        for k in range(int(part["band"].iloc[0])):
-            a = slice(k * ROWS, (k + 1) * ROWS)
-            first &= (sig[i, a] != sig[j, a]).any(axis=1)
-        i, j, share = i[first], j[first], share[first]
-        whole, joined, out = [np.asarray(s) for s in part["shingles"]], {}, []
-
-        def root(x: bytes) -> bytes:
-            while x in joined:
-                x = joined[x]
-            return x
-
-        for k in np.argsort(-share, kind="stable"):
-            x, y = int(i[k]), int(j[k])
-            a, b = root(labels[x]), root(labels[y])
-            if a != b:
-                common = len(np.intersect1d(whole[x], whole[y], assume_unique=True))
-                if 100 * common >= percent * (len(whole[x]) + len(whole[y]) - common):
-                    joined[a] = b
-                    out.append((keys[x], keys[y]))
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    return _two_sided(left.select(columns), right.select(columns)).groupBy("bucket", "x", "y").applyInPandas(run, "u binary, v binary")
+        keys, sig, _, i, j = _grid(part)
+        return _ordered(keys, *likely(sig, i, j, percent))
+
+    return _two_sided(left.select(columns), right.select(columns)).groupBy("sub", "x", "y").applyInPandas(run, _PAIR)
 
 
 def _one(pairs: DataFrame) -> DataFrame:
@@ -307,16 +327,16 @@ def _grouped(docs: DataFrame, *, id_col: str, text_col: str, width: int, percent
     rows = stored(sketches(docs, id_col=id_col, text_col=text_col, width=width), "sketches")
     classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(_precedence()).alias("best"), F.first("sig").alias("sig")), "classes")
     bands = _bands(classes)
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = stored(bands.join(shared.hint("merge"), "bucket"), "members")
     with_sig = members.join(classes.select("key", "sig").hint("merge"), "key")
 
     meeting = members.select("key").distinct().join(classes.select("key", "rep").hint("merge"), "key").select("rep").distinct()
-    meeting = stored(meeting.select(F.col("rep").alias("__rep")), "meeting")
+    meeting = meeting_rows = stored(meeting, "meeting")
     if meeting.count() <= BROADCAST_IDS:
         meeting = F.broadcast(meeting)
-    some = docs.join(meeting, F.col(id_col).cast("long").eqNullSafe(F.col("__rep")), "left_semi")
-    sets = stored(_full_sets(some, id_col=id_col, text_col=text_col, width=width).dropDuplicates(["key"]), "shingle-sets")
+    some = docs.select(F.col(id_col).cast("long").alias("id"), valid(F.col(text_col)).alias("text")).join(meeting, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    sets = stored(_full_sets(some, width=width).dropDuplicates(["key"]), "shingle-sets")
 
     large = stored(with_sig.where(F.col("n") > SMALL), "large-buckets")
     pairs = stored(_one(_small_pairs(with_sig.where(F.col("n") <= SMALL), percent).unionByName(_first_look(large, percent))), "pairs")
@@ -328,9 +348,10 @@ def _grouped(docs: DataFrame, *, id_col: str, text_col: str, width: int, percent
     as_links = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
     labels = components(as_links(labels).unionByName(_verified(_across(pairs, labels), sets, percent)))
     if not large.isEmpty():
-        found = stored(_outsider_links(large, labels, sets, percent), "outsiders")
-        if not found.isEmpty():
-            labels = components(as_links(labels).unionByName(found))
+        others = stored(_one(_outsider_pairs(large, labels, classes, percent)), "outsiders")
+        if not others.isEmpty():
+            labels = components(as_links(labels).unionByName(_verified(_across(others, labels), sets, percent)))
+    discard(shared, members, meeting_rows, sets, large, pairs)
 
     rooted = classes.select("key", "rep", "best").join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("best").alias("best"))
@@ -347,7 +368,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Links have a Jaccard similarity of percent/100 or more between sets of `width`-word shingles.
     component_id is the smallest doc_id reachable. A text without words (null, empty, blank) is
     linked with nothing and its own component. Rows that repeat a doc_id are kept alike.
-    doc_id is an integer; other columns are not looked at.
+    doc_id is an integer or its digits. Whole texts of any length are read (what is no UTF-8 as
+    U+FFFD), an empty table gives no row, and other columns are not looked at.
     """
     out = _grouped(docs, id_col=id_col, text_col=text_col, width=width, percent=percent)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -358,23 +380,27 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Rows are told apart by id and text, so ids may be null or repeated. A null id comes after all
     others, and a hash of the text decides between equal ids. Of rows that agree in id and text
-    one stays; rows with neither an id nor words all stay.
+    one stays; rows with neither an id nor words all stay. A row is one column on the way, so other
+    columns may have any names.
     """
     found = stored(_grouped(docs, id_col=id_col, text_col=text_col, width=width, percent=percent), "near-duplicates")
-    row = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")]
-    gone = stored(found.where(~F.col("stays")).select(*row).distinct(), "dropped")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__text"))
-    stay = docs.join(gone, same, "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"))
+
+    def these(kept: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        """The rows whose id and text are (left_semi) or are not (left_anti) among others."""
+        other = other.select(F.col("doc_id").alias("i"), F.col("text_key").alias("t"))
+        return kept.join(F.broadcast(other) if few else other, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("t")), how)
+
+    gone = stored(found.where(~F.col("stays")).select("doc_id", "text_key").distinct(), "dropped")
+    few = gone.count() <= BROADCAST_IDS
+    stay = these(rows, gone, "left_anti")
     some = found.where("stays and (n_shingles > 0 or doc_id is not null)")
-    again = stored(some.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", "__text"), "repeated")
-    if again.isEmpty():
-        return stay
-    if again.count() <= BROADCAST_IDS:
-        again = F.broadcast(again)
-    once = stay.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
-    return stay.join(again, same, "left_anti").unionByName(once)
+    again = stored(some.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    if (n := again.count()) == 0:
+        return stay.select("row.*")
+    few = few and n <= BROADCAST_IDS
+    once = these(stay, again, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return these(stay, again, "left_anti").unionByName(once).select("row.*")
 
 
 def sql(width: int, percent: int) -> str:
