@@ -1,11 +1,13 @@
 """Line deduplication by site-relative frequency.
 
 Within a host, a line that more than RATIO of its pages hold is boilerplate of the site and is
-dropped from all of them. Pages are counted once for each line, lines are told apart by 128 bits
-of hash, and the counts are combined before the shuffle, so a hot host or line is spread. What
-goes back to the pages is each host's set of boilerplate lines: at most its mean number of
-distinct lines a page divided by RATIO. The sets are broadcast only when they are few and else
-joined on (host, salt), so that a host's pages are dealt to many tasks.
+dropped from all of them. Copies of a whole page are one page here, so that a text posted many
+times is not taken for boilerplate. Pages are told apart by 128 bits of hash of their text and
+lines by 128 bits of their own; both counts are combined before the shuffle, so a hot host, page or
+line is spread. What goes back to the pages is each host's set of boilerplate lines: at most its
+mean number of distinct lines a page divided by RATIO. The sets are broadcast only when they are few
+and else joined on (host, salt), so that a host's pages are dealt to as many tasks as its size asks
+for.
 """
 
 from __future__ import annotations
@@ -15,12 +17,10 @@ from pyspark.sql import functions as F
 
 from carepath.llm.common import BLANKS, stored
 
-#: Share of a host's pages that a line may be on, fewest pages a host must have to be judged, and fewest that must hold the line.
-RATIO, FEWEST_PAGES, FEWEST_HITS = 0.05, 10, 3
-#: A page of which more than this share of the characters would go is a copy of others rather than a page with boilerplate, and is left as it is.
-MOST_DROPPED = 0.8
-#: Boilerplate lines up to which their sets are broadcast (16 bytes each), and the salts of the join beyond it.
-BROADCAST_LINES, SALTS = 200_000, 32
+#: Share of a host's pages that a line may be on, and fewest different pages that must hold it: what only two pages share is no pattern of a site.
+RATIO, FEWEST_HITS = 0.05, 3
+#: Boilerplate lines up to which their sets are broadcast (16 bytes each), and the pages of a host for each salt of the join beyond it.
+BROADCAST_LINES, SALT_PAGES = 200_000, 100_000
 
 
 def _lines(text: Column) -> Column:
@@ -33,59 +33,66 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit("second")).alias("b")))
 
 
-def boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, fewest_pages: int = FEWEST_PAGES, fewest_hits: int = FEWEST_HITS) -> DataFrame:
-    """host and lines: the keys of the lines of each host that more than `ratio` of its pages hold."""
-    keys = F.array_distinct(F.array_compact(F.transform(_lines(F.col(text_col)), _key)))  # a page counts once for a line
-    held = docs.select(F.col(host_col).alias("host"), F.explode(keys).alias("key")).select("host", "key.a", "key.b")
-    counts = stored(held.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fewest_hits), "line-counts")
-    totals = docs.groupBy(F.col(host_col).alias("h")).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= fewest_pages)
+def _page_keys(text: Column) -> Column:
+    """The keys of a page's distinct lines."""
+    return F.array_distinct(F.array_compact(F.transform(_lines(text), _key)))
+
+
+def boilerplate(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, fewest_hits: int = FEWEST_HITS) -> DataFrame:
+    """host, pages (different ones) and lines: the keys of the lines of each host that more than `ratio` of its pages hold."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    page = F.struct(F.xxhash64(text).alias("c"), F.xxhash64(text, F.lit("second")).alias("d"))
+    pages = docs.select(F.col(host_col).alias("host"), page.alias("page"), _page_keys(text).alias("keys"))
+    pages = stored(pages.dropDuplicates(["host", "page"]).select("host", "keys"), "pages")
+    held = pages.select("host", F.explode("keys").alias("key")).select("host", "key.a", "key.b")
+    counts = held.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fewest_hits)
+    totals = pages.groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("pages"))
     often = counts.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > ratio * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
+    return often.groupBy("host", "pages").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
 def cleaned(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", **rule: float) -> DataFrame:
-    """The rows of `docs` with the text rid of boilerplate lines, and n_lines and n_dropped beside them.
+    """row (the columns of `docs`, the text rid of boilerplate lines), n_lines and n_dropped of every row.
 
-    A null text stays null and has no lines; blank lines stay. A null host is a host. Hosts of
-    fewer than FEWEST_PAGES rows are left alone. Repeated rows count as pages of their own.
+    A null text stays null and has no lines; blank lines stay. A null host is a host, and hosts of
+    all sizes are judged alike. Rows that repeat a text are one page when lines are counted and
+    are all cleaned. Whole texts are read, however long. There are no ties: a share of exactly
+    the ratio stays. An empty table gives no row; a row is kept as one column on the way, so
+    other columns may have any names.
     """
     found = stored(boilerplate(docs, text_col=text_col, host_col=host_col, **rule), "boilerplate")
-    size = found.agg(F.sum(F.size("lines")).alias("n")).first()["n"] or 0
-    found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__found"))
-    same = F.col(host_col).eqNullSafe(F.col("__host"))
+    size, pages = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)), F.coalesce(F.max("pages"), F.lit(0))).first()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("own_host"))
+    same = F.col("own_host").eqNullSafe(F.col("host"))
     if size <= BROADCAST_LINES:
-        both = docs.join(F.broadcast(found), same, "left")
+        both = rows.join(F.broadcast(found), same, "left")
     else:
-        found = found.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = docs.withColumn("__salt", F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int")).join(found, same & (F.col("__salt") == F.col("__to")), "left")
-    lines = _lines(F.col(text_col))
-    stay = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("__found"), _key(x)), F.lit(True)))
-    text = F.col(text_col)
-    out = both.withColumn("__stay", F.when(F.col("__found").isNotNull() & text.isNotNull(), stay))
-    size = lambda xs: F.length(F.translate(F.array_join(xs, ""), BLANKS, ""))
-    copy = size(lines) - size(F.col("__stay")) > MOST_DROPPED * size(lines)
-    out = out.withColumn("__stay", F.when(~copy, F.col("__stay")))
-    n = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
-    dropped = F.when(F.col("__stay").isNull(), 0).otherwise(F.size(lines) - F.size("__stay")).cast("long")
-    kept = F.when(F.col("__stay").isNull(), text).otherwise(F.array_join("__stay", "\n"))
-    columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*columns, n.alias("__n_lines"), dropped.alias("__n_dropped"))
+        salts = 1 + pages // SALT_PAGES
+        to = found.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        both = rows.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(salts)).cast("int")).join(to, same & (F.col("salt") == F.col("to")), "left")
+    lines = _lines(F.col("text"))
+    both = both.withColumn("hit", F.when(F.col("lines").isNotNull() & F.col("text").isNotNull(), F.array_intersect(_page_keys(F.col("text")), F.col("lines"))))
+    touched = F.size("hit") > 0
+    out = both.withColumn("stay", F.when(touched, F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("hit"), _key(x)), F.lit(True)))))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    dropped = F.when(F.col("stay").isNull(), 0).otherwise(F.size(lines) - F.size("stay")).cast("long")
+    kept = F.when(F.col("stay").isNull(), F.col("text")).otherwise(F.array_join("stay", "\n"))
+    row = F.struct(*[kept.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return out.select(row.alias("row"), n.alias("n_lines"), dropped.alias("n_dropped"))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rule: float) -> DataFrame:
-    """doc_id, source, n_lines, n_dropped and the cleaned text of every row."""
+    """doc_id, source, n_lines, n_dropped and the cleaned text of every row; see `cleaned`."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("source"), F.col(text_col).alias("text"))
-    return cleaned(rows, **rule).select("doc_id", "source", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
+    return cleaned(rows, **rule).select("row.doc_id", "row.source", "n_lines", "n_dropped", "row.text")
 
 
 SQL = rf"""
-WITH l AS (SELECT doc_id, source, k, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
-  FROM (SELECT doc_id, source, k, ls[k] AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM documents))),
-p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+WITH l AS (SELECT doc_id, source, text, k, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM (SELECT doc_id, source, text, k, ls[k] AS line FROM (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM documents))),
+p AS (SELECT source, count(DISTINCT coalesce(text, '')) AS pages FROM documents GROUP BY source),
 b AS (SELECT l.source, bare FROM l JOIN p ON l.source IS NOT DISTINCT FROM p.source WHERE bare <> ''
-  GROUP BY l.source, bare, pages HAVING pages >= {FEWEST_PAGES} AND count(DISTINCT doc_id) >= {FEWEST_HITS} AND count(DISTINCT doc_id) > {RATIO} * pages),
-m AS (SELECT l.*, b.bare IS NOT NULL AS gone, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS size FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.bare = b.bare),
-c AS (SELECT doc_id, coalesce(sum(size) FILTER (gone), 0) > {MOST_DROPPED} * sum(size) AS copy FROM m GROUP BY doc_id),
-g AS (SELECT m.doc_id, k, line, gone AND NOT copy AS gone FROM m JOIN c ON m.doc_id = c.doc_id)
+  GROUP BY l.source, bare, pages HAVING count(DISTINCT text) >= {FEWEST_HITS} AND count(DISTINCT text) > {RATIO} * pages),
+g AS (SELECT doc_id, k, line, b.bare IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.bare = b.bare)
 SELECT d.doc_id, d.source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(stay, '') END AS text
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS stay FROM g GROUP BY doc_id) s ON d.doc_id = s.doc_id"""
