@@ -4,9 +4,10 @@ Each source has a target number of words. Whole epochs of a source come first; w
 left is filled by rows in the order of their exponential keys -ln(u)/w, where u is a hash of
 the row's id and w its quality, until the running sum of sizes meets the budget. The sum is
 taken in two steps: over ranges of the keys (small sums, a window for each source), then over
-the rows of the one range of each source in which the budget ends. So no source, however
-large, is ever sorted in one task. The outcome for a source is a cut (range, key, id), and
-applying the cuts is a join with one row for each source.
+the rows of the one range of each source in which the budget ends. A source of n rows has about
+sqrt(n) ranges of as many rows, so no source, however large, is ever sorted in one task. The
+outcome for a source is a cut (range, key, id), and applying the cuts is a join with one row for
+each source.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carepath.llm.common import stored
+from carepath.llm.common import discard, stored
 
-#: Weights of the sources in code point order, repeating; times a source may be taken; rows in a range of keys, about.
-WEIGHTS, MOST_EPOCHS, RANGE_ROWS = (5.0, 2.0, 1.0), 3, 1000
-#: A mixture names its sources; more than this many are refused, since their totals pass through the driver.
-MAX_SOURCES = 100_000
+#: Weights of the sources in code point order, repeating; times a source may be taken.
+WEIGHTS, MOST_EPOCHS = (5.0, 2.0, 1.0), 3
+#: Sources up to which their totals pass through the driver and their cuts are broadcast; of more, both stay tables.
+DRIVER_SOURCES = 100_000
 SEED = 20_240_229
 
 
@@ -29,7 +30,7 @@ def words(text: Column) -> Column:
 
 
 def quality(text: Column) -> Column:
-    """0.5 to 1: less the more of its characters are markup symbols."""
+    """The weight of a document unless another is given: 0.5 to 1, less the more of its characters are markup symbols."""
     marks = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
     share = F.least(F.lit(1.0), 8.0 * marks / F.greatest(F.length(text), F.lit(1)))
     return F.coalesce(1.0 - 0.5 * share, F.lit(1.0))
@@ -52,75 +53,112 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Adds size and key to the rows, under names that no column of a table should have."""
+def target_table(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """The same targets beside a stored table of any number of sources (source, source_size, rows).
+
+    The places of the sources in code point order are taken from a range partitioning; the share is
+    found by one aggregate a step, as the sources that are full only grow.
+    """
+    parts = totals.repartitionByRange(F.col("source").isNull(), F.col("source")).sortWithinPartitions(F.col("source").isNull(), F.col("source"))
+    parts = stored(parts.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("within")), "mix-order")
+    before, at = 0, []
+    for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # one row for each partition
+        at.append((r["part"], before))
+        before += r["n"]
+    place = F.col("within") + F.col("before")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    ranked = parts.join(F.broadcast(totals.sparkSession.createDataFrame(at, "part int, before long")), "part").withColumn("weight", weight).drop("part", "within", "before")
+    share = 0.0
+    while True:
+        full = F.lit(share) * F.col("weight") > most * F.col("source_size")
+        r = ranked.agg(F.sum("source_size").alias("all"), F.coalesce(F.sum(F.when(full, most * F.col("source_size"))), F.lit(0)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        now = (r["all"] - r["full"]) / r["open"] if r["open"] else share
+        if now <= share:
+            return ranked.select("source", "source_size", "rows", F.least(F.lit(share) * F.col("weight"), most * F.col("source_size")).alias("target"))
+        share = now
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
+    """row (all columns of `docs`), source, id, size and key."""
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    return docs.withColumn("__size", words(F.col(text_col))).withColumn("__key", -F.log(u) / quality(F.col(text_col))).withColumn("__source", F.col(source_col)).withColumn("__id", F.col(id_col).cast("string"))
+    weight = quality(F.col(text_col)) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(1.0)), F.lit(1e-9))
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("string").alias("id"), words(F.col(text_col)).alias("size"), (-F.log(u) / weight).alias("key"))
 
 
 def _range(n: Column) -> Column:
     """The range a key falls in; it never falls as the key grows."""
-    return F.least(F.floor((1.0 - F.exp(-F.col("__key"))) * n), n - 1).cast("long")
-
-
-def cuts(keyed: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row for each source: its size, target, whole epochs, ranges, and where the fractional part ends."""
-    spark = keyed.sparkSession
-    totals = keyed.groupBy("__source").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"a mixture of more than {MAX_SOURCES} sources")
-    goal = targets({r["__source"]: r["size"] for r in totals}, weights, most)
-    plan = []
-    for r in totals:
-        epochs = min(most, int(goal[r["__source"]] // r["size"])) if r["size"] else 0
-        rest = goal[r["__source"]] - epochs * r["size"]
-        plan.append((r["__source"], r["size"], round(goal[r["__source"]], 6), epochs, rest if epochs < most else 0.0, max(1, r["rows"] // RANGE_ROWS)))
-    per_source = F.broadcast(spark.createDataFrame(plan, "__s string, source_size long, target double, epochs int, rest double, ranges long"))
-
-    here = F.col("__source").eqNullSafe(F.col("__s"))
-    ranged = keyed.join(per_source, here).withColumn("__range", _range(F.col("ranges"))).drop("__source")
-    sums = ranged.groupBy("__s", "__range", "rest").agg(F.sum("__size").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("__s").orderBy("__range")) - F.col("size")
-    ends = sums.withColumn("before", before).where("rest > 0 and before < rest and before + size >= rest").select(F.col("__s").alias("__e"), F.col("__range").alias("end_range"), "before")
-    ends = F.broadcast(stored(ends, "mix-ends"))  # one row for each source
-    rows = ranged.join(ends, F.col("__s").eqNullSafe(F.col("__e")) & (F.col("__range") == F.col("end_range")))
-    along = F.col("before") + F.sum("__size").over(Window.partitionBy("__e", "end_range").orderBy("__key", "__id").rowsBetween(Window.unboundedPreceding, -1))
+    return F.least(F.floor((1.0 - F.exp(-F.col("key"))) * n), n - 1).cast("long")
+
+
+def _per_source(rows: DataFrame, cut: DataFrame, small: bool) -> DataFrame:
+    """Rows with their source's line beside them; there is one line for each source."""
+    return rows.join(F.broadcast(cut) if small else cut, F.col("source").eqNullSafe(F.col("s")))
+
+
+def cuts(keyed: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> tuple[DataFrame, bool]:
+    """One row for each source: its size, target, whole epochs, ranges, and where the fractional part ends; and whether they are few."""
+    totals = stored(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "mix-totals")
+    small = totals.count() <= DRIVER_SOURCES
+    if small:
+        found = totals.collect()
+        goal = targets({r["source"]: r["source_size"] for r in found}, weights, most)
+        goals = totals.sparkSession.createDataFrame([(r["source"], r["source_size"], r["rows"], goal[r["source"]]) for r in found], "source string, source_size long, rows long, target double")
+    else:
+        goals = target_table(totals, weights, most)
+    epochs = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
+    goals = goals.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") < most, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0))
+    goals = goals.withColumn("ranges", F.greatest(F.lit(1), F.floor(F.sqrt("rows")).cast("long"))).withColumnRenamed("source", "s").drop("rows")
+    goals = stored(goals, "mix-goals")
+
+    ranged = _per_source(keyed, goals, small).withColumn("range", _range(F.col("ranges")))
+    sums = ranged.groupBy("s", "range", "rest").agg(F.sum("size").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("s").orderBy("range")) - F.col("size")
+    ends = sums.withColumn("before", before).where("rest > 0 and before < rest and before + size >= rest")
+    ends = stored(ends.select(F.col("s").alias("e"), F.col("range").alias("end_range"), "before"), "mix-ends")  # one row for each source
+    few = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    rows = ranged.join(few(ends), F.col("s").eqNullSafe(F.col("e")) & (F.col("range") == F.col("end_range")))
+    along = F.col("before") + F.sum("size").over(Window.partitionBy("e", "end_range").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1))
     along = F.coalesce(along, F.col("before"))
-    taken = rows.withColumn("along", along).where("along < rest and along + __size / 2 <= rest")
-    last = taken.groupBy("__e").agg(F.max(F.struct("__key", "__id")).alias("last"))
-    ends = ends.withColumnRenamed("__e", "__f")
-    out = per_source.join(ends, F.col("__s").eqNullSafe(F.col("__f")), "left").join(F.broadcast(stored(last, "mix-last")), F.col("__s").eqNullSafe(F.col("__e")), "left")
-    return out.select("__s", "source_size", "target", "epochs", "ranges", "end_range", "last")
+    taken = rows.withColumn("along", along).where("along < rest and along + size / 2 <= rest")
+    last = stored(taken.groupBy(F.col("e").alias("f")).agg(F.max(F.struct("key", "id")).alias("last")), "mix-last")
+    out = goals.join(few(ends), F.col("s").eqNullSafe(F.col("e")), "left").join(few(last), F.col("s").eqNullSafe(F.col("f")), "left")
+    out = stored(out.select("s", "source_size", F.round("target", 6).alias("target"), "epochs", "ranges", "end_range", "last"), "mix-cuts")
+    discard(totals, goals, ends, last)
+    return out, small
 
 
 def _times() -> Column:
     """How often the mix takes a row."""
     at = _range(F.col("ranges"))
-    early = (at < F.col("end_range")) | ((at == F.col("end_range")) & (F.struct("__key", "__id") <= F.col("last")))
+    early = (at < F.col("end_range")) | ((at == F.col("end_range")) & (F.struct("key", "id") <= F.col("last")))
     return F.col("epochs") + F.when(F.coalesce(early, F.lit(False)), 1).otherwise(0)
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, weight: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken and times of every row.
 
-    A null text has size 0, a null source is a source that comes last. Rows that repeat an id
-    within a source share a key and are cut by it together. An empty table gives no row.
-    The mix of a source ends at the row boundary nearest to its target.
+    `weight` is a document's quality, a positive column of `docs` such as a score (null: 1); without
+    one, `quality` of the text is taken. A null text has size 0, a null source is a source that
+    comes last. Equal keys are ordered by id; rows that repeat an id within a source share a key
+    and are cut by it together. Whole texts are counted in the JVM, however long. An empty table
+    gives no row, and other columns may have any names. The mix of a source ends at the row
+    boundary nearest to its target.
     """
-    rows = _keyed(docs, id_col, text_col, source_col).select(F.col(id_col).alias("doc_id"), "__size", "__key", "__source", "__id")
-    rows = stored(rows, "mix-sizes")
-    found = rows.join(F.broadcast(stored(cuts(rows, weights, most), "mix-cuts")), F.col("__source").eqNullSafe(F.col("__s")))
+    rows = _keyed(docs, id_col, text_col, source_col, weight)
+    rows = stored(rows.select(F.col("row").getField(id_col).alias("doc_id"), "source", "id", "size", "key"), "mix-sizes")
+    found = _per_source(rows, *cuts(rows, weights, most))
     times = _times()
-    return found.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (times * F.col("__size")).alias("taken"), times.alias("times"))
+    return found.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
 
 
-def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """The rows of `docs` as the mix takes them: a row taken twice comes twice; same columns."""
-    keyed = _keyed(docs, id_col, text_col, source_col)
-    sizes = stored(keyed.select("__size", "__key", "__source", "__id"), "mix-sizes")
-    found = keyed.join(F.broadcast(stored(cuts(sizes, weights, most), "mix-cuts")), F.col("__source").eqNullSafe(F.col("__s")))
-    return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _times()))).select(*docs.columns)
+def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, weight: Column | None = None) -> DataFrame:
+    """The rows of `docs` as the mix takes them: a row taken twice comes twice; same columns. See `mixed`."""
+    keyed = _keyed(docs, id_col, text_col, source_col, weight)
+    sizes = stored(keyed.select("source", "id", "size", "key"), "mix-sizes")
+    found = _per_source(keyed, *cuts(sizes, weights, most))
+    discard(sizes)
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), _times()))).select("row.*")
 
 
 def _sql() -> str:
