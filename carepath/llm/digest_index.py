@@ -111,14 +111,17 @@ def look_up(index: DataFrame, new: DataFrame, bits: int) -> DataFrame:
             held = [x["digests"][k : k + 32] for k in range(0, len(x["digests"]), 32)]
             known = pd.DataFrame({"digest": held, "points": np.array(x["points"], np.int64), "doc_id": pd.array(list(x["doc_ids"]), "Int64"), "size": np.array(x["sizes"], np.int64)})
             if len(new):
-                where = slots(levels, _words(new["digest"]))
-                member = np.array([s >= 0 and held[s] == bytes(d) for s, d in zip(where, new["digest"], strict=True)])
-                for k in np.flatnonzero(member):
-                    s, row = where[k], new.iloc[k]
-                    rank = lambda points, i: (-points, not pd.isna(i), 0 if pd.isna(i) else i)  # noqa: E731  as Spark sorts: null first
-                    if rank(row["points"], row["doc_id"]) < rank(known.at[s, "points"], known.at[s, "doc_id"]):
-                        known.loc[s, ["points", "doc_id"]] = [row["points"], row["doc_id"]]
-                    known.at[s, "size"] += row["size"]
+                words = _words(new["digest"])
+                where = slots(levels, words)
+                member = (where >= 0) & (np.frombuffer(x["digests"], "<u8").reshape(-1, 4)[where] == words).all(axis=1)  # all 32 bytes
+                again, at = new[member], where[member]  # digests differ, so slots do
+                rank = lambda ids: pd.array(ids, "Int64").to_numpy("int64", na_value=np.iinfo("int64").min)  # noqa: E731  as Spark sorts: null first
+                points, ids = again["points"].to_numpy(), pd.array(again["doc_id"].tolist(), "Int64")
+                old = known["points"].to_numpy()[at]
+                better = (points > old) | ((points == old) & (rank(ids) < rank(known["doc_id"].iloc[at])))
+                known.loc[at[better], "points"] = points[better]
+                known.loc[at[better], "doc_id"] = ids[better]
+                known.loc[at, "size"] += again["size"].to_numpy()
                 new = new[~member]
             rows.append(known)
         if len(new):
@@ -135,7 +138,8 @@ def exact_dedup(docs: DataFrame, seen: Column, *, id_col: str = "doc_id", text_c
 
     Of equal texts the row with the most code points stays, then the smallest doc_id. Null counts
     as empty, so null, empty and blank texts are one group. Rows that repeat doc_id and text are
-    all marked as kept. doc_id is an integer; other columns are not looked at.
+    all marked as kept. doc_id is an integer or its digits. Whole texts of any length are digested
+    in the JVM, an empty table gives no row, and other columns are not looked at.
     """
     rows = stored(digests(docs, seen, id_col=id_col, text_col=text_col), "digests")
     history = stored(grouped(rows.where("seen")), "history")

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carepath.llm.common import valid
+
 #: Cells of a vector, centroids of a language, steps of the clustering.
 CELLS, CENTROIDS, STEPS = 1 << 13, 16, 8
-#: Labelled rows of a language and of all languages that the fit uses, about, by hash of the id; and the most languages there may be.
-ROWS_PER_LANG, ROWS, MAX_LANGS = 600, 3000, 200
+#: Labelled rows of a language and of all languages that the fit uses, about, by hash of the id.
+ROWS_PER_LANG, ROWS = 600, 3000
 #: Which rows of the sample set the cut (one of so many), the share of them that may fall under it, and the deviations from their mean that it is below at least.
 EVERY, QUANTILE, DEVIATIONS = 4, 0.002, 4
 #: Bytes worked on at once; longer texts are counted slice by slice.
@@ -89,18 +91,19 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     """A model from a bounded sample of the rows that `train` marks and that have a lang and a letter.
 
     The sample is drawn by a hash of the id, ROWS_PER_LANG of each language in expectation but not
-    more than ROWS in all; only its counts come to the driver. None without any labelled row.
+    more than ROWS in all, and at least one row of each language is expected: of more than ROWS
+    languages the most frequent are learned. Only the sample's counts come to the driver. None
+    without any labelled row.
     """
     rows = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(found) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), valid(F.col(text_col)).alias("text"))
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(ROWS).collect()
     if not found:
         return None
     each = min(ROWS_PER_LANG, ROWS / len(found))
-    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in found], "__lang string, __share double"))
-    u = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    sample = rows.join(share, F.col(lang_col) == F.col("__lang")).where(u < F.col("__share")).select("__lang", F.col(text_col).alias("text"))
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in found], "lang string, share double"))  # at most ROWS rows
+    u = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1e6
+    sample = rows.join(share, "lang").where(u < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,8 +173,11 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Learns from rows that are not held out; predictions see the text alone. A null text and one
     without a letter is `und` with score 0 and rejected, and so is every text when nothing is
-    labelled. Repeated rows agree; no shuffle but the count of languages.
+    labelled. Of equally near centroids the first counts (languages in code point order). Texts of
+    any length are counted whole, slice by slice, and what is no UTF-8 as U+FFFD. Repeated rows
+    agree, a null doc_id is not held out, an empty table gives no row, and other columns may have
+    any names. No shuffle but the count of languages.
     """
     model = fit(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    found = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), detect(model)(F.col(text_col)).alias("found"))
+    found = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), detect(model)(valid(F.col(text_col))).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.rejected")

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carepath.llm.common import valid
+
 #: Cells of the two multinomials, added count for each, and the score from which a document is kept.
 CELLS, SMOOTH, THRESHOLD = 1 << 15, 1.0, -0.15
 #: Documents with a trusted label that make the target at most, by least hash of the id.
@@ -65,7 +67,7 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray, *, id_col: str = "doc_id",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, raw, target = WordHashes(), np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
         for b in batches:
-            good = np.isin(np.array([-1 if i is None else i for i in b.column(0).to_pylist()], np.int64), trusted)
+            good = np.isin(b.column(0).fill_null(0).to_numpy(), trusted) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids, lengths = flat([(t or "").encode() for t in b.column(1).to_pylist()], hashes)
             if len(ids):
                 cell, owner = cells(ids, np.repeat(np.arange(len(lengths)), lengths))
@@ -74,7 +76,7 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray, *, id_col: str = "doc_id",
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["cell", "raw", "target"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(count, "cell long, raw long, target long")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), valid(F.col(text_col)).alias("t")).mapInArrow(count, "cell long, raw long, target long")
     counts = np.zeros((2, CELLS))
     for r in rows.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most CELLS rows
         counts[:, r["cell"]] = r["target"], r["raw"]
@@ -112,8 +114,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """doc_id, the base counts, base_failed, score and kept of every row, from whole texts.
 
     A null text has no words and fails the base rules; without any trusted label every score is 0.
-    Repeated rows are scored alike. The target is a bounded set of labelled rows (TARGET_ROWS);
-    the raw counts are of all rows. The two passes need one shuffle of at most CELLS rows a task.
+    Repeated rows are scored alike, a score of exactly the threshold is kept, and a null doc_id is
+    never in the target. Whole texts of any length are read (what is no UTF-8 as U+FFFD), an empty
+    table gives no row, and other columns are not looked at. The target is a bounded set of
+    labelled rows (TARGET_ROWS); the raw counts are of all rows. The two passes need one shuffle of
+    at most CELLS rows a task.
     """
     ratios = log_ratios(docs, target_ids(labels), id_col=id_col, text_col=text_col)
 
@@ -147,6 +152,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), valid(F.col(text_col)).alias("t"))
     kinds = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
     return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kinds}")
