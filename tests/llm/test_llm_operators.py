@@ -81,6 +81,43 @@ def test_language_left_out_of_training_is_rejected(spark):
     assert all(x["rejected"] == (lang[x["doc_id"]] is None) for x in got)
 
 
+def test_language_against_naive_vectors(spark):
+    """Every prediction again, from grams counted one by one; repeated rows, many languages and clashing columns."""
+    r = random.Random(3)
+    kinds = [r.sample(SYLLABLES, 8) for _ in range(5)]
+    data = [(i if i % 17 else None, "".join(" " * (r.random() < 0.3) + r.choice(kinds[i % 5]) for _ in range(r.randint(0, 60))), f"l{i % 5}" if i % 4 else None, "x", 0.5) for i in range(300)]
+    data += [data[1], data[1], (900, "É" * 40, None, "x", 1.0)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, __lang string, share double")
+    model = language.fit(df, ~language.held_out())
+
+    def naive(t):
+        if not any(c.isalpha() for c in t):
+            return "und", 0.0
+        b, n = b" " + t.lower().encode() + b" ", Counter()
+        for k in range(len(b) - 1):
+            n[((int.from_bytes(b[k : k + 2], "big") + 0x01000000) * 2654435761 % 2**32) >> 19] += 1
+        for k in range(len(b) - 2):
+            n[(int.from_bytes(b[k : k + 3], "big") * 2654435761 % 2**32) >> 19] += 1
+        v = {c: math.log1p(x) * float(model.idf[c]) for c, x in n.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(center[c]) for c, x in v.items()) / norm for center in model.centroids]
+        k = max(range(len(cosines)), key=cosines.__getitem__)
+        return model.langs[k], cosines[k]
+
+    got = sorted(((x["doc_id"] is None, x["doc_id"] or 0, x["lang_pred"], round(x["score"], 4)) for x in language.language_id(df).collect()))
+    want = sorted((i is None, i or 0, *(lambda a: (a[0], a[1]))(naive(t))) for i, t, *_ in data)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert sum(g[2] == w[2] for g, w in zip(got, want, strict=True)) >= len(want) - 1  # two centroids may tie in the last bit
+    assert all(abs(g[3] - w[3]) < 2e-3 for g, w in zip(got, want, strict=True) if g[2] == w[2] and not g[0])
+
+
+def test_more_languages_than_rows_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 20)
+    data = [(i, f"{'abcdefghij'[i % 10] * 5} {i} word", f"l{i % 40:02}") for i in range(400)]
+    got = language.language_id(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 400 and all(x["lang_pred"] in {f"l{k:02}" for k in range(40)} for x in got)
+
+
 # ---- 2
 
 
@@ -123,6 +160,29 @@ def test_near_duplicates_empty(empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_bucket_of_unlike_classes_stays_linear(spark):
+    """Thousands of classes that one passage brought into a bucket: only those that share a second band are compared."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    n = 4000
+    sig = draw.integers(0, 2**32, (n, near_dup.HASHES), dtype=np.uint32).astype("<u4")
+    sig[:, : near_dup.ROWS] = 7  # all agree in band 0
+    for k in range(0, 40, 2):  # twenty pairs are alike
+        sig[k + 1] = sig[k]
+        sig[k + 1, draw.integers(near_dup.ROWS, near_dup.HASHES, 6)] += 1
+    keys = [bytearray(f"{k:016}".encode()) for k in range(n)]
+    classes = spark.createDataFrame(list(zip(keys, (bytearray(s.tobytes()) for s in sig), strict=True)), "key binary, sig binary").cache()
+    large = classes.selectExpr("5L AS bucket", "0 AS band", "key", f"{n}L AS n", "sig")
+    labels = spark.createDataFrame([(keys[k], keys[0]) for k in range(100, 2500)], "node binary, root binary")
+    live = near_dup._outsiders(large, labels)
+    assert live.count() == n and live.where("out").count() == n - 2401
+    got = near_dup._one(near_dup._outsider_pairs(large, labels, classes, 80)).collect()
+    assert sorted((int(x["a"]), int(x["b"])) for x in got) == [(k, k + 1) for k in range(0, 40, 2)]
+    subs = near_dup._two_bands(live)
+    assert subs.count() == n * (near_dup.BANDS - 1)
+
+
 def test_bayes_table_keeps_what_is_likely():
     for percent in (80, 85):
         least = near_dup.least_matches(percent)
@@ -166,11 +226,21 @@ def test_license_scan(docs, rows, empty):
         assert (x["n_words"], x["n_base"]) == (len(ws), len(places))
         assert (x["first_word"], x["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
         base = {label for _, label in places}
-        found = {label for label, u in license_scan.TEMPLATES for line in (t or "").split("\n") if len(set(cut(line)) & set(u.split())) >= license_scan.CONTAINED * len(set(u.split())) - 1e-9}
+        blocks = [set(ws[k : k + license_scan.WINDOW]) for k in range(0, len(ws), license_scan.STRIDE)]
+        found = {label for label, u, must in license_scan.TEMPLATES for b in blocks if b >= set(must.split()) and len(b & set(u.split())) >= license_scan.CONTAINED * len(set(u.split())) - 1e-9}
         assert x["base_labels"] == ",".join(sorted(base)) and x["labels"] == ",".join(sorted(base | found))
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_blocks_cross_lines_and_labels_are_told_apart(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software\nand associated documentation files"
+    filler = " ".join(f"w{k}" for k in range(200))
+    data = [(1, mit), (2, f"{filler} {mit.replace(chr(10), ' ')} {filler}"), (3, "Licensed under CC BY-NC 4.0."), (4, "Licensed under CC BY-SA 4.0."), (5, "Released under the BSD License"), (6, "under the M\u0130T license"), (7, "wor\u212A under"), (8, "permission granted " + filler + " charge software copy")]
+    got = {x["doc_id"]: x for x in license_scan.license_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[k]["labels"] for k in range(1, 9)] == ["mit", "mit", "cc-by-nc", "cc-by-sa", "bsd", "", "", ""]
+    assert all(len(t.split()) <= license_scan.WINDOW - license_scan.STRIDE and set(m.split()) <= set(t.split()) for _, t, m in license_scan.TEMPLATES)
+
+
 def test_license_scan_has_no_python(docs):
     plan = license_scan.license_scan(docs)._jdf.queryExecution().toString()
     assert not any(k in plan for k in ("Python", "Pandas", "Arrow"))
@@ -193,7 +263,7 @@ def test_token_counts(docs, rows, empty):
     assert prefix_counts.token_counts(empty).count() == 0
     counter = prefix_counts.counter("byte_bpe_50k.json")
     r = random.Random(3)
-    parts = ["a", "b", " ", "  ", "\n", "'s", "'ll", "é", "1", "the", " of", "!!", "\t", "<|endoftext|>", "<|", "中", "😀", "\xa0", "　"]
+    parts = ["a", "b", " ", "  ", "\n", "'s", "'ll", "'", "\r\n", "e\u0301", "é", "1", "the", " of", "!!", "\t", "<|endoftext|>", "<|", "中", "😀", "\xa0", "　"]
     for _ in range(300):
         s = "".join(r.choices(parts, k=r.randint(0, 12)))
         want = [n(s[:k]) for k in range(len(s) + 1)]
@@ -201,9 +271,64 @@ def test_token_counts(docs, rows, empty):
         assert counter.longest_prefix(s, 3) == max(k for k, m in enumerate(want) if m <= 3)
 
 
+def test_prefix_tables_and_long_words(spark, docs, rows):
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(12)
+    word = "".join(r.choice("abcdefgh01") for _ in range(900))
+    some = spark.createDataFrame([(1, word), (2, None), (3, "a  b's " * 20)], "doc_id long, text string")
+    tables = {x["doc_id"]: x for x in prefix_counts.prefix_counts(some).withColumn("fit", prefix_counts.fitting(F.col("counts"), F.lit(10))).collect()}
+    for i, t in ((1, word), (2, ""), (3, "a  b's " * 20)):
+        want = [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+        assert tables[i]["counts"] == want and tables[i]["fit"] == max(k for k, n in enumerate(want) if n <= 10)
+    counter, start = prefix_counts.counter("byte_bpe_50k.json"), time.time()
+    for t in ("".join(r.choice("abcdefgh01") for _ in range(300_000)), " " * 300_000, "word " * 60_000, "=-" * 150_000):
+        k = counter.longest_prefix(t, 512)
+        assert len(library.encode(t[:k], add_special_tokens=False).ids) <= 512 and len(library.encode(t[: k + 1], add_special_tokens=False).ids) > 512
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op4", "op5", "op8", "op10"])
+def test_what_is_no_utf8_is_read(spark, name):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF20' AS STRING) AS text, 'en' AS lang, 'u' AS url UNION ALL SELECT 2L, 'a b', 'en', 'u'")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    run = {"op1": language.language_id, "op2": near_dup.near_duplicates, "op4": prefix_counts.token_counts, "op5": lambda d: quality.quality_rules(d, labels), "op8": lambda d: html_text.extract(d, id_col="doc_id", html_col="text"), "op10": packing.packed}[name]
+    assert run(df).count() == 2
+
+
 # ---- 5
 
 
+def test_quality_score_by_hand(spark):
+    r = random.Random(21)
+    data = [(i, prose(r, r.randint(0, 60), 40 if i % 3 else 90)) for i in range(60)] + [(None, prose(r, 30)), (7, prose(r, 30))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40)], "doc_id long, quality int")
+    mask, hashed = (1 << 64) - 1, lambda w: __import__("xxhash").xxh3_64_intdigest(w.encode())
+
+    def cells(t):
+        ids = [hashed(w) for w in t.split()]
+        out = [(i >> 32) % quality.CELLS for i in ids]
+        for a, b in zip(ids, ids[1:], strict=False):
+            h = (a * 0x9E3779B97F4A7C15 & mask) ^ b
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask
+            out.append((h >> 32) % quality.CELLS)
+        return out
+
+    raw, good = Counter(), Counter()
+    for i, t in data:
+        raw.update(cells(t))
+        good.update(cells(t) if i is not None and i < 40 and i % 2 else [])
+    rate = lambda c, k: (c[k] + quality.SMOOTH) / (sum(c.values()) + quality.SMOOTH * quality.CELLS)
+    want = sorted((i is None, i or 0, round(sum(math.log(rate(good, k) / rate(raw, k)) for k in cells(t)) / max(1, len(cells(t))), 9)) for i, t in data)
+    got = quality.quality_rules(spark.createDataFrame(data, "doc_id long, text string"), labels).collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0, round(x["score"], 9)) for x in got) == want
+    assert len({s for *_, s in want}) > 20
+
+
 def test_quality(spark, docs, rows, empty):
     import re
 
@@ -226,16 +351,26 @@ def test_quality(spark, docs, rows, empty):
 
 
 def test_line_dedup(spark, empty, monkeypatch):
-    data = [(i, f"Menu of the site\nstory {i} of many words to read\n\n Menu of the site ", "h") for i in range(30)] + [(100 + i, "Menu of the site\nfew pages", "small") for i in range(3)]
-    data += [(200 + i, "the very same text", "copies") for i in range(30)] + [(300, None, "h"), (301, "", None)]
-    df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    got = {x["doc_id"]: x for x in line_dedup.line_dedup(df).collect()}
-    assert got[4]["text"] == "story 4 of many words to read\n" and got[4]["n_dropped"] == 2 and got[4]["n_lines"] == 4
-    assert got[100]["n_dropped"] == 0 and got[201]["text"] == "the very same text"  # a small host; a group of copies
-    assert got[300]["text"] is None and got[300]["n_lines"] == 0 and got[301]["text"] == ""
+    data = [(i, f"Menu of the site\nstory {i} of many words to read\n\n Menu of the site ", "h") for i in range(30)] + [(100 + i, f"Menu of the site\nfew pages {i}", "small") for i in range(3)]
+    data += [(200 + i, "the very same text", "copies") for i in range(30)] + [(300, None, "h"), (301, "", None), (302, "only two\nx", "two"), (303, "only two\ny", "two"), (4, data[4][1], "h")]
+    data += [(400 + i, f"first\n{'long line ' * 20000}\n{i}", "long") for i in range(4)]
+    df = spark.createDataFrame([(*d, 1, "u") for d in data], "doc_id long, text string, source string, __host int, row string")
+    pages, hits = defaultdict(set), defaultdict(set)
+    for _, t, h in data:
+        pages[h].add(t or "")
+        for line in (t or "").split("\n"):
+            hits[h, line.strip()].add(t)
+    gone = {(h, x) for (h, x), ts in hits.items() if x and len(ts) >= line_dedup.FEWEST_HITS and len(ts) > line_dedup.RATIO * len(pages[h])}
+    stay = lambda t, h: [x for x in t.split("\n") if (h, x.strip()) not in gone]
+    want = sorted(((i, None, 0, 0, h) if t is None else (i, "\n".join(stay(t, h)), t.count("\n") + 1, t.count("\n") + 1 - len(stay(t, h)), h)) for i, t, h in data)
+    rows = lambda df: sorted((x["doc_id"], x["text"], x["n_lines"], x["n_dropped"], x["source"]) for x in df.collect())
+    assert rows(line_dedup.line_dedup(df)) == want
+    by = {x[0]: x for x in want}
+    assert by[5][1] == "story 5 of many words to read\n" and by[100][1] == "few pages 0" and by[201][1] == "the very same text" and by[302][3] == 0 and by[400][1] == "0"
+    assert line_dedup.cleaned(df).select("row.*").columns == df.columns
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
-    again = {x["doc_id"]: x for x in line_dedup.line_dedup(df).collect()}
-    assert again == got
+    monkeypatch.setattr(line_dedup, "SALT_PAGES", 7)
+    assert rows(line_dedup.line_dedup(df)) == want
     assert line_dedup.line_dedup(empty).count() == 0
 
 
@@ -265,6 +400,13 @@ def test_mix(docs, rows, empty):
     assert out.count() == sum(x["times"] for x in got)
 
 
+def test_mix_of_many_sources_stays_a_table(docs, monkeypatch):
+    want = sorted(map(str, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 0)
+    assert sorted(map(str, mixing.mixed(docs).collect())) == want
+    assert mixing.mixed(docs, weight=F.col("score")).count() == len(want)
+
+
 def test_targets_share_what_is_over():
     assert mixing.targets({"a": 10, "b": 10, "c": 80}) == pytest.approx({"a": 30, "b": 30, "c": 40})
     assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
@@ -286,6 +428,24 @@ def test_pages(spark):
     assert html_text.extract(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<div>" * 80_000 + "</zz>" * 80_000, "<p a='x" * 150_000, "<!" * 500_000, "<script>" + "</script " * 120_000, "<td><table>" + "<div>" * 40_000 + "<td></td>" * 40_000, "&#" + "1" * 500_000 + ";", "<" * 500_000], ids=str.__len__)
+def test_pages_of_any_markup_take_time_by_their_length(source):
+    import time
+
+    from carepath.llm.page_maker import labelled_pages
+
+    start, p = time.time(), html_text.Pages()
+    html_text.add_page(p, source)
+    html_text.train(labelled_pages(5)).marginals(p)
+    assert time.time() - start < 20
+
+
+def test_text_in_figures_and_formulas_stays(spark):
+    body = "<article><p>Some words of a text long enough to be read as such.</p><p>Here <math><mi>x</mi></math> and <svg><text>a drawn word</text></svg> stand in a sentence of it.</p><select><option>no</option></select><script>no()</script></article>"
+    got = html_text.extract(pages(spark, [(1, "u", f"<html><body>{body}</body></html>", "t")])).first()["text"]
+    assert "x" in got.split() and "drawn" in got and "no" not in got.split()
+
+
 def test_page_model_on_layouts_it_has_not_seen():
     from carepath.llm.page_maker import labelled_pages
 
@@ -376,6 +536,8 @@ def test_packing(docs, rows, empty):
             at += length
         assert at <= 2048
     assert len(sequences) <= math.ceil(sum(x["length"] for x in got) / 2048) + 1
+    odd = docs.selectExpr("*", "1 AS salt", "2 AS number", "3 AS length", "4 AS `before`")
+    assert packing.packed(odd).count() == len(got)
     assert packing.packed(empty).count() == 0
 
 
