@@ -236,20 +236,23 @@ def _first_look(large: DataFrame, percent: int) -> DataFrame:
 
 
 def _outsiders(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, band, key, sig, label and out of the classes of large buckets with several components; out: not in the bucket's main one.
+    """bucket, x, n, band, key, sig, label and out of the classes of large buckets with several components; out: not in the bucket's main one.
 
-    A bucket's rows meet its main component by (bucket, block), so no task gets a hot bucket whole.
+    A bucket's rows meet its main component by (bucket, block x), so no task gets a hot bucket whole.
     """
     named = large.join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
     named = stored(named.withColumn("x", _dealt(_blocks("n"))), "named")
     sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("n_labels"), F.max("n").alias("n")).where("n_labels > 1")
     to = main.select("bucket", F.col("top.label").alias("main"), F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("x"))
-    return named.join(to.hint("merge"), ["bucket", "x"]).select("bucket", "band", "key", "sig", "label", (F.col("label") != F.col("main")).alias("out"))
+    out = named.join(to.hint("merge"), ["bucket", "x"]).select("bucket", "x", "n", "band", "key", "sig", "label", (F.col("label") != F.col("main")).alias("out"))
+    out = stored(out, "outsiders")
+    discard(named)
+    return out
 
 
 def _two_bands(live: DataFrame) -> DataFrame:
-    """sub, key, label and out: each class of a bucket once for each other band that it has; sub stands for the two bands."""
+    """sub, bucket, key, label and out: each class of a bucket once for each other band that it has; sub stands for the bucket and that band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,35 +264,79 @@ def _two_bands(live: DataFrame) -> DataFrame:
             sub = _mix(_mix(np.uint64(1), np.repeat(bucket, BANDS)), sub.reshape(-1))
             other = np.flatnonzero(np.tile(np.arange(BANDS), n) != np.repeat(band, BANDS))
             rows = pa.array(other // BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(sub[other].view(np.int64)), *(b.column(k).take(rows) for k in (2, 4, 5))], ["sub", "key", "label", "out"])
+            yield pa.RecordBatch.from_arrays([pa.array(sub[other].view(np.int64)), *(b.column(k).take(rows) for k in (0, 2, 4, 5))], ["sub", "bucket", "key", "label", "out"])
+
+    return live.select("bucket", "band", "key", "sig", "label", "out").mapInArrow(run, "sub long, bucket long, key binary, label binary, out boolean")
+
+
+def _meeting_again(live: DataFrame) -> DataFrame:
+    """sub, n, bucket, key, label and out where an outsider and a class of another component agree in a second band."""
+    subs = _two_bands(live)
+    shared = subs.groupBy("sub").agg(F.count(F.lit(1)).alias("n"), F.max("out").alias("any"), F.min("label").alias("least"), F.max("label").alias("most"))
+    shared = stored(shared.where("any and least <> most").select("sub", "n"), "two-bands")
+    out = stored(subs.join(shared.hint("merge"), "sub"), "two-band-members")
+    discard(shared)
+    return out
+
+
+def _few_pairs(again: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Surviving pairs of different components, one an outsider, of two bands with at most BLOCK classes."""
 
-    return live.select("bucket", "band", "key", "sig", "label", "out").mapInArrow(run, "sub long, key binary, label binary, out boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for got in b.column(0).to_pylist():
+                _, label = np.unique(np.array([g["label"] for g in got], object), return_inverse=True)
+                out = np.array([g["out"] for g in got])
+                i, j = np.triu_indices(len(got), 1)
+                ask = (label[i] != label[j]) & (out[i] | out[j])
+                found = _ordered([g["key"] for g in got], *likely(_matrix([g["sig"] for g in got]), i[ask], j[ask], percent))
+                yield pa.RecordBatch.from_pandas(found, schema=pa.schema([("a", pa.binary()), ("b", pa.binary()), ("share", pa.float64())]), preserve_index=False)
+
+    few = again.where(F.col("n") <= BLOCK).join(classes.select("key", "sig").hint("merge"), "key")
+    return _one(few.groupBy("sub").agg(F.collect_list(F.struct("key", "sig", "label", "out")).alias("got")).select("got").mapInArrow(run, _PAIR))
 
 
-def _outsider_pairs(large: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of the classes outside a large bucket's main component with all its others.
+def _crowd_links(live: DataFrame, again: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (u, v) between the outsiders and all others of a bucket that meet again in crowds of more than BLOCK classes.
 
-    Only classes that agree in a second band are compared: linked pairs of similarity 0.8 share
-    fewer than two bands with probability 6e-5, while unlike classes that one common passage
-    brought into a bucket share no other and part here, so the work grows with the bucket. Where
-    the two bands are still shared by many, a group is one block of outsiders with one block of
-    all; rows carry signatures and labels only.
+    A group is one block of outsiders with one block of the others. Every pair in it of different
+    components is compared, in the first band that it shares, likest first, and verified on full
+    sets unless a link found before it has connected the two components.
     """
-    subs = _two_bands(_outsiders(large, labels))
-    shared = subs.groupBy("sub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("out").cast("long")).alias("outs"), F.min("label").alias("least"), F.max("label").alias("most"))
-    shared = stored(shared.where("outs > 0 and least <> most").select("sub", "n", "outs"), "two-bands")
-    live = stored(subs.join(shared.hint("merge"), "sub").join(classes.select("key", "sig").hint("merge"), "key"), "two-band-members")
-    columns = ["sub", "x", "y", "key", "sig", "label"]
-    deal = lambda n: F.pmod(F.xxhash64("key", "sub"), n).cast("int")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    left = live.where("out").withColumn("x", deal(blocks("outs"))).withColumn("y", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
-    right = live.withColumn("y", deal(blocks("n"))).withColumn("x", F.explode(F.sequence(F.lit(0), blocks("outs") - 1)))
+    crowd = stored(live.join(again.where(F.col("n") > BLOCK).select("bucket", "key").distinct().hint("merge"), ["bucket", "key"]), "crowd")
+    sizes = crowd.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("out").cast("long")).alias("outs"), F.max("n").alias("n")).where("outs > 0")
+    to = sizes.select("bucket", "all", "outs", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("x"))
+    crowd = crowd.join(to.hint("merge"), ["bucket", "x"]).drop("x").join(sets.hint("merge"), "key")
+    columns = ["bucket", "x", "y", "band", "key", "sig", "label", "shingles"]
+    left = crowd.where("out").withColumn("x", _dealt(_blocks("outs"))).withColumn("y", F.explode(F.sequence(F.lit(0), _blocks("all") - 1)))
+    right = crowd.withColumn("y", _dealt(_blocks("all"))).withColumn("x", F.explode(F.sequence(F.lit(0), _blocks("outs") - 1)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        keys, sig, _, i, j = _grid(part)
-        return _ordered(keys, *likely(sig, i, j, percent))
-
-    return _two_sided(left.select(columns), right.select(columns)).groupBy("sub", "x", "y").applyInPandas(run, _PAIR)
+        keys, sig, labels, i, j = _grid(part)
+        i, j, share = likely(sig, i, j, percent)
+        first = np.ones(len(i), bool)
+        for k in range(int(part["band"].iloc[0])):
+            a = slice(k * ROWS, (k + 1) * ROWS)
+            first &= (sig[i, a] != sig[j, a]).any(axis=1)
+        i, j, share = i[first], j[first], share[first]
+        whole, joined, out = [np.asarray(s) for s in part["shingles"]], {}, []
+
+        def root(x: bytes) -> bytes:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        for k in np.argsort(-share, kind="stable"):
+            x, y = int(i[k]), int(j[k])
+            a, b = root(labels[x]), root(labels[y])
+            if a != b:
+                common = len(np.intersect1d(whole[x], whole[y], assume_unique=True))
+                if 100 * common >= percent * (len(whole[x]) + len(whole[y]) - common):
+                    joined[a] = b
+                    out.append((keys[x], keys[y]))
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    return _two_sided(left.select(columns), right.select(columns)).groupBy("bucket", "x", "y").applyInPandas(run, "u binary, v binary")
 
 
 def _one(pairs: DataFrame) -> DataFrame:
@@ -348,9 +395,15 @@ def _grouped(docs: DataFrame, *, id_col: str, text_col: str, width: int, percent
     as_links = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
     labels = components(as_links(labels).unionByName(_verified(_across(pairs, labels), sets, percent)))
     if not large.isEmpty():
-        others = stored(_one(_outsider_pairs(large, labels, classes, percent)), "outsiders")
-        if not others.isEmpty():
-            labels = components(as_links(labels).unionByName(_verified(_across(others, labels), sets, percent)))
+        # linked pairs of similarity 0.8 share fewer than two bands with probability 6e-5; unlike classes
+        # that one common passage brought into a bucket share no other and are not compared
+        live = _outsiders(large, labels)
+        again = _meeting_again(live)
+        few = _verified(_across(_few_pairs(again, classes, percent), labels), sets, percent)
+        found = stored(few.unionByName(_crowd_links(live, again, sets, percent)), "outsider-links")
+        if not found.isEmpty():
+            labels = components(as_links(labels).unionByName(found))
+        discard(live, again, found)
     discard(shared, members, meeting_rows, sets, large, pairs)
 
     rooted = classes.select("key", "rep", "best").join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))

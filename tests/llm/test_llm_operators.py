@@ -177,10 +177,10 @@ def test_bucket_of_unlike_classes_stays_linear(spark):
     labels = spark.createDataFrame([(keys[k], keys[0]) for k in range(100, 2500)], "node binary, root binary")
     live = near_dup._outsiders(large, labels)
     assert live.count() == n and live.where("out").count() == n - 2401
-    got = near_dup._one(near_dup._outsider_pairs(large, labels, classes, 80)).collect()
+    again = near_dup._meeting_again(live)
+    assert again.count() < 40 * near_dup.BANDS
+    got = near_dup._few_pairs(again, classes, 80).collect()
     assert sorted((int(x["a"]), int(x["b"])) for x in got) == [(k, k + 1) for k in range(0, 40, 2)]
-    subs = near_dup._two_bands(live)
-    assert subs.count() == n * (near_dup.BANDS - 1)
 
 
 def test_bayes_table_keeps_what_is_likely():
