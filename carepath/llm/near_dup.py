@@ -5,8 +5,8 @@
 2. Classes that agree in a band of the signature meet in a bucket. Pairs in small buckets are
    compared at once. A large bucket is dealt to blocks: first each block with itself and with one
    pivot block, keeping each class's likest partners, so the work grows with the bucket's size;
-   later classes outside the bucket's main component are compared with those of it that agree in
-   one more band.
+   later classes outside the bucket's main component are compared with all of it, or, where they
+   are many, with those of it that agree in one more band.
 3. A comparison looks at the signatures in batches and stops as soon as the posterior probability
    that the similarity reaches the threshold falls under MISS.
 4. Survivors are verified on full sets: first each class's likest partner, then, between different
@@ -19,7 +19,7 @@ and 4e-6 at 0.8.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import comb
 
 import numpy as np
@@ -37,6 +37,8 @@ BANDS, ROWS, BATCH, MISS = 24, 4, 16, 1e-5
 HASHES = BANDS * ROWS
 #: Classes in a bucket that is compared at once; classes in a block of a larger one; likest partners kept for each class of a block.
 SMALL, BLOCK, LIKEST = 32, 128, 2
+#: Classes outside a bucket's main component up to which all of the bucket meets them (in up to 8 blocks); more must agree in a second band first.
+OUTSIDERS = 8 * BLOCK
 #: Ids or rows up to which a list of them is broadcast (8 or 16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 KEPT_WORDS = 50_000
@@ -236,7 +238,7 @@ def _first_look(large: DataFrame, percent: int) -> DataFrame:
 
 
 def _outsiders(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, x, n, band, key, sig, label and out of the classes of large buckets with several components; out: not in the bucket's main one.
+    """bucket, x, n, outs, band, key, sig, label and out of the classes of large buckets with several components; out: not in the bucket's main one.
 
     A bucket's rows meet its main component by (bucket, block x), so no task gets a hot bucket whole.
     """
@@ -244,8 +246,8 @@ def _outsiders(large: DataFrame, labels: DataFrame) -> DataFrame:
     named = stored(named.withColumn("x", _dealt(_blocks("n"))), "named")
     sizes = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("n_labels"), F.max("n").alias("n")).where("n_labels > 1")
-    to = main.select("bucket", F.col("top.label").alias("main"), F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("x"))
-    out = named.join(to.hint("merge"), ["bucket", "x"]).select("bucket", "x", "n", "band", "key", "sig", "label", (F.col("label") != F.col("main")).alias("out"))
+    to = main.select("bucket", F.col("top.label").alias("main"), (F.col("n") - F.col("top.m")).alias("outs"), F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("x"))
+    out = named.join(to.hint("merge"), ["bucket", "x"]).select("bucket", "x", "n", "outs", "band", "key", "sig", "label", (F.col("label") != F.col("main")).alias("out"))
     out = stored(out, "outsiders")
     discard(named)
     return out
@@ -296,17 +298,16 @@ def _few_pairs(again: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return _one(few.groupBy("sub").agg(F.collect_list(F.struct("key", "sig", "label", "out")).alias("got")).select("got").mapInArrow(run, _PAIR))
 
 
-def _crowd_links(live: DataFrame, again: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links (u, v) between the outsiders and all others of a bucket that meet again in crowds of more than BLOCK classes.
+def _crowd_links(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (u, v) between the outsiders of a bucket and all its others.
 
     A group is one block of outsiders with one block of the others. Every pair in it of different
     components is compared, in the first band that it shares, likest first, and verified on full
     sets unless a link found before it has connected the two components.
     """
-    crowd = stored(live.join(again.where(F.col("n") > BLOCK).select("bucket", "key").distinct().hint("merge"), ["bucket", "key"]), "crowd")
     sizes = crowd.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("out").cast("long")).alias("outs"), F.max("n").alias("n")).where("outs > 0")
     to = sizes.select("bucket", "all", "outs", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("x"))
-    crowd = crowd.join(to.hint("merge"), ["bucket", "x"]).drop("x").join(sets.hint("merge"), "key")
+    crowd = crowd.drop("outs").join(to.hint("merge"), ["bucket", "x"]).drop("x").join(sets.hint("merge"), "key")
     columns = ["bucket", "x", "y", "band", "key", "sig", "label", "shingles"]
     left = crowd.where("out").withColumn("x", _dealt(_blocks("outs"))).withColumn("y", F.explode(F.sequence(F.lit(0), _blocks("all") - 1)))
     right = crowd.withColumn("y", _dealt(_blocks("all"))).withColumn("x", F.explode(F.sequence(F.lit(0), _blocks("outs") - 1)))
@@ -395,15 +396,19 @@ def _grouped(docs: DataFrame, *, id_col: str, text_col: str, width: int, percent
     as_links = lambda found: found.select(F.col("node").alias("u"), F.col("root").alias("v"))
     labels = components(as_links(labels).unionByName(_verified(_across(pairs, labels), sets, percent)))
     if not large.isEmpty():
-        # linked pairs of similarity 0.8 share fewer than two bands with probability 6e-5; unlike classes
-        # that one common passage brought into a bucket share no other and are not compared
         live = _outsiders(large, labels)
-        again = _meeting_again(live)
-        few = _verified(_across(_few_pairs(again, classes, percent), labels), sets, percent)
-        found = stored(few.unionByName(_crowd_links(live, again, sets, percent)), "outsider-links")
-        if not found.isEmpty():
-            labels = components(as_links(labels).unionByName(found))
-        discard(live, again, found)
+        near, far = live.where(F.col("outs") <= OUTSIDERS), live.where(F.col("outs") > OUTSIDERS)
+        found = [_crowd_links(near, sets, percent)]
+        if not far.isEmpty():
+            # linked pairs of similarity 0.8 share fewer than two bands with probability 6e-5; unlike classes
+            # that one common passage brought into a bucket share no other and are not compared
+            again = _meeting_again(far)
+            crowd = stored(far.join(again.where(F.col("n") > BLOCK).select("bucket", "key").distinct().hint("merge"), ["bucket", "key"]), "crowd")
+            found += [_verified(_across(_few_pairs(again, classes, percent), labels), sets, percent), _crowd_links(crowd, sets, percent)]
+        links = stored(reduce(DataFrame.unionByName, found), "outsider-links")
+        if not links.isEmpty():
+            labels = components(as_links(labels).unionByName(links))
+        discard(live, links)
     discard(shared, members, meeting_rows, sets, large, pairs)
 
     rooted = classes.select("key", "rep", "best").join(labels.select(F.col("node").alias("key"), "root").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -150,6 +150,7 @@ def brute(rows, width, percent):
 def test_near_duplicates(docs, rows, empty, width, percent, small, monkeypatch):
     monkeypatch.setattr(near_dup, "SMALL", small)  # a small bound sends the copies through the blocks
     monkeypatch.setattr(near_dup, "BLOCK", 8 if small == 4 else 128)
+    monkeypatch.setattr(near_dup, "OUTSIDERS", 2 if small == 4 else 1024)  # and through second bands
     got = near_dup.near_duplicates(docs, width=width, percent=percent).collect()
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=key) == sorted(brute(rows, width, percent), key=key)
