@@ -75,3 +75,9 @@ def haemoglobin_cutoffs(age_months: Column, female: Column, pregnant: Column) ->
 def months_before(day: Column, months: int) -> Column:
     """The same day `months` earlier, at the end of a shorter month."""
     return F.add_months(day, -months)
+
+
+def age_band(years: Column) -> Column:
+    """Bands of twelve years from 18, all younger and all from 90 together; null for an unknown age."""
+    low = (F.floor((years - 18) / 12) * 12 + 18).cast("int")
+    return F.when(years < 18, "0-17").when(years >= 90, "90+").when(years.isNotNull(), F.concat_ws("-", low, low + 11))

@@ -139,3 +139,41 @@ def seeded_sample(df: DataFrame, keys: Sequence[str], node: str, seed: str, n: i
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("__h", node))
     few = salted.withColumn("__r", rank(*keys, "__salt")).where(F.col("__r") <= n)
     return few.withColumn("place", rank(*keys)).where(F.col("place") <= n).drop("__h", "__salt", "__r")
+
+
+def floor_ranks(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For each key the values at place floor(share * (n - 1)) of its values in order.
+
+    Equal values are counted first, so a hot key is a running sum over its distinct values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    upto = Window.partitionBy(*keys).orderBy("v")
+    ranked = counts.withColumn("end", F.sum("m").over(upto)).withColumn("n", F.sum("m").over(Window.partitionBy(*keys)))
+    here = lambda share: (F.floor(F.lit(share) * (F.col("n") - 1)) >= F.col("end") - F.col("m")) & (F.floor(F.lit(share) * (F.col("n") - 1)) < F.col("end"))
+    return ranked.groupBy(*keys).agg(*[F.max(F.when(here(share), F.col("v"))).alias(name) for name, share in shares.items()])
+
+
+def unordered_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """keys, digest and n: a sum of 48-bit row digests, combined before the shuffle and equal for any order of the rows."""
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 12), 16, 10).cast("decimal(20,0)")
+    return df.groupBy(*keys).agg(F.sum(row).cast("decimal(38,0)").alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], *columns: str) -> DataFrame:
+    """The columns of each key's first row in order, by an aggregate."""
+    return df.groupBy(*keys).agg(F.min(F.struct(*order, F.struct(*columns).alias("row"))).alias("first")).select(*keys, "first.row.*")
+
+
+def episode_start(df: DataFrame, keys: Sequence[str], day: str, *, gap: int) -> DataFrame:
+    """since and last_day: where the latest run of days without a gap of more than `gap` days begins; days are counted once."""
+    days = df.where(F.col(day).isNotNull()).select(*keys, F.col(day).alias("day")).distinct()
+    before = F.lag("day").over(Window.partitionBy(*keys).orderBy("day"))
+    fresh = before.isNull() | (F.date_diff(F.col("day"), before) > gap)
+    return days.withColumn("fresh", fresh).groupBy(*keys).agg(F.max(F.when(F.col("fresh"), F.col("day"))).alias("since"), F.max("day").alias("last_day"))
+
+
+def set_differences(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that only one of two sets has, as what: missing (expected only) or extra."""
+    here = expected.select(*keys, F.lit(1).alias("e"), F.lit(0).alias("f")).unionByName(found.select(*keys, F.lit(0).alias("e"), F.lit(1).alias("f")))
+    both = here.groupBy(*keys).agg(F.max("e").alias("e"), F.max("f").alias("f")).where("e <> f")
+    return both.select(*keys, F.when(F.col("e") == 1, "missing").otherwise("extra").alias("what"))

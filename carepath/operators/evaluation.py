@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -88,3 +89,8 @@ def sentence_problems(text: Column, cited: Column, known: Column, language_ok: C
         F.when(F.size(absent) > 0, "a number that no cited item holds"),
         F.when(~language_ok, "another language"),
     ))
+
+
+def rule_totals(assessed: DataFrame, keys: Sequence[str] = ("rule",)) -> DataFrame:
+    """keys, met, not_met and not_assessable of a table of statuses."""
+    return assessed.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("met", "not_met", "not_assessable")])

@@ -101,12 +101,12 @@ def ckd_without_diagnosis(c: Context, ckd: DataFrame) -> DataFrame:
 
 
 def assess_anaemia(c: Context) -> DataFrame:
-    """The latest haemoglobin against the cutoffs that apply on its day; all cutoffs that apply must agree."""
+    """For every evaluated patient: the latest haemoglobin against the cutoffs that apply on its day; all cutoffs that apply must agree."""
     hb = core.latest_by(c.points.where("analyte = 'hemoglobin'"), ["patient"], ["day", "instant", "node"], "value", "comparator", "day", "node")
-    hb = hb.join(c.patient, "patient").withColumn("g_l", F.col("value").cast("double") * 10)
+    hb = c.patient.join(hb, "patient", "left").withColumn("g_l", F.col("value").cast("double") * 10)
     spans = c.diagnoses.where(F.col("code").isin(*PREGNANCY)).select("patient", "onset", "abatement")
     expecting = core.within(hb.select("patient", "day"), spans, ["patient"], F.expr("r.onset <= l.day and coalesce(r.abatement, l.day) >= l.day"), there=True).select("patient", F.lit(True).alias("pregnant"))
-    smoke = hb.select("patient", F.col("day").alias("hb_day")).join(c.smoking, "patient").where("day <= hb_day")
+    smoke = hb.where("day is not null").select("patient", F.col("day").alias("hb_day")).join(c.smoking, "patient").where("day <= hb_day")
     smoke = core.latest_by(smoke, ["patient"], ["day", "node"], "text").select("patient", F.when(F.col("text").isin(*SMOKER), True).when(F.col("text").isin(*NOT_SMOKER), False).alias("smoker"))
     x = hb.join(expecting, "patient", "left").join(smoke, "patient", "left")
     female = F.when(F.col("gender") == "female", True).when(F.col("gender") == "male", False)
@@ -115,12 +115,13 @@ def assess_anaemia(c: Context) -> DataFrame:
     low = F.transform("cut", lambda k: cl.below(F.col("g_l"), F.col("comparator"), k.cast("double")))
     x = x.withColumn("cut", cut).withColumn("low", low)
     status = (
-        F.when(F.col("birth").isNull() | F.col("cut").isNull(), "not_assessable")
+        F.when(F.col("g_l").isNull() | F.col("birth").isNull() | F.col("cut").isNull(), "not_assessable")
         .when(F.forall("low", lambda b: F.coalesce(b, F.lit(False))), "met")
         .when(F.forall("low", lambda b: F.coalesce(~b, F.lit(False))), "not_met")
         .otherwise("not_assessable")
     )
-    return x.select("patient", F.lit("anaemia_criteria").alias("rule"), status.alias("status"), "day", "g_l", "cut", "node")
+    reason = F.when(F.col("g_l").isNull(), "no usable haemoglobin").when(F.col("birth").isNull(), "no birth date").when(F.col("cut").isNull(), "no cutoff for the age").otherwise("the cutoffs that apply disagree")
+    return x.select("patient", F.lit("anaemia_criteria").alias("rule"), status.alias("status"), "day", "g_l", "cut", "node", F.when(status == "not_assessable", reason).alias("reason"))
 
 
 def anaemia_without_diagnosis(c: Context, anaemia: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def follow_up(c: Context, ckd: DataFrame) -> DataFrame:
         x = x.join(last.withColumnRenamed("last", name), "patient", "left")
     x = x.withColumn("albumin", F.when(young, F.greatest("acr", "protein")).otherwise(F.col("acr")))
     year, tests = F.lit(12), []
-    for rule, last, months, applies in (("gfr_due", "gfr", year, F.lit(True)), ("albuminuria_due", "albumin", year, F.lit(True)), ("haemoglobin_due", "hb", hb_months, (F.coalesce("stage", F.lit(0)) >= 3) | by_g.isNotNull() | (F.col("g").isNull() & F.col("stage").isNull()))):
+    for rule, last, months, applies in (("gfr_due", "gfr", year, F.lit(True)), ("albuminuria_due", "albumin", year, F.lit(True)), ("haemoglobin_due", "hb", hb_months, F.lit(True))):
         due = F.col(last).isNull() | (F.col(last) < F.add_months(c.as_of, -months))
         status = F.when(F.col("failed") | months.isNull(), "not_assessable").when(due, "met").otherwise("not_met")
         tests.append(x.where(applies).select("patient", F.lit(rule).alias("rule"), status.alias("status"), F.col(last).alias("last_test")))

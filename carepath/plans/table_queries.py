@@ -266,42 +266,44 @@ def tokens_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-#: The query of the ranked searches.
-TERMS = ("license", "released", "work", "question", "under")
-
-
-@query(rf"""
+@query(r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
-p AS (SELECT doc_id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM t, (SELECT unnest({list(TERMS)!r}) AS term)),
-d AS (SELECT term, count(*) AS df FROM p WHERE tf > 0 GROUP BY 1),
-r AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN d ON p.term = d.term, s WHERE tf > 0 GROUP BY 1)
-SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10""")
+p AS (SELECT doc_id, any_value(len(w)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM t) GROUP BY doc_id, term),
+d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT doc_id AS query_id, term FROM p WHERE doc_id % 100 = 0),
+r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p ON q.term = p.term JOIN d ON p.term = d.term, s GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 4) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(_t(spark, sf_dir, "documents"), "doc_id", "text", TERMS, limit=10)
+    """The ten best documents for the words of every document whose id is divisible by 100."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    found = retrieval.bm25_each(docs, "doc_id", "text", docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), "query_id", "text", limit=10)
+    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 @query("""
-WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0),
-r AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 6) AS score FROM embeddings, q)
-SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10""")
+WITH r AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors nearest to the first one."""
+    """The ten nearest of all vectors for every vector whose id is divisible by 100."""
     e = _t(spark, sf_dir, "embeddings")
-    return retrieval.dense(e, "vec_id", "embedding", e.where("vec_id = 0").first()["embedding"], limit=10)
+    return retrieval.dense_each(e, "vec_id", "embedding", e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), "query_id", "embedding", limit=10)
 
 
 @query("""
-WITH q AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 2),
-r AS (SELECT k, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 6) AS score FROM embeddings, q),
-t AS (SELECT k, vec_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS rank FROM r QUALIFY rank <= 50),
-f AS (SELECT vec_id, round(sum(1 / (60 + rank)), 9) AS score FROM t GROUP BY 1)
-SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""")
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0),
+v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+r AS (SELECT 1 AS k, query_id, vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v, q
+  UNION ALL SELECT 2, query_id, vec_id, round(list_cosine_similarity(v.e, list_reverse(q.e)), 6) FROM v, q),
+t AS (SELECT k, query_id, vec_id, row_number() OVER (PARTITION BY k, query_id ORDER BY score DESC, vec_id) AS rank FROM r QUALIFY rank <= 50),
+f AS (SELECT query_id, vec_id, round(sum(1 / (60 + rank)), 9) AS score FROM t GROUP BY 1, 2)
+SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two dense rankings fused by reciprocal ranks."""
+    """For every vector whose id is divisible by 100: its ranking and that of its mirror image, fused by reciprocal ranks."""
     e = _t(spark, sf_dir, "embeddings")
-    queries = {r["vec_id"]: r["embedding"] for r in e.where("vec_id < 2").collect()}
-    return retrieval.fused([retrieval.dense(e, "vec_id", "embedding", v, limit=50) for _, v in sorted(queries.items())], "vec_id", limit=10)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    both = [retrieval.dense_each(e, "vec_id", "embedding", x, "query_id", "embedding", limit=50) for x in (q, q.withColumn("embedding", F.reverse("embedding")))]
+    return retrieval.fused_each(both, "query_id", "vec_id", limit=10)
 
 
 @query()
@@ -318,7 +320,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\pL\pN]+'), ' ') || ' ' AS t FROM documents),
-b AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\pL\pN]+'), ' ') AS q FROM benchmark WHERE len(regexp_extract_all(text, '[\pL\pN]+')) >= 5)
+b AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\pL\pN]+'), ' ') AS q FROM benchmark WHERE len(regexp_extract_all(text, '[\pL\pN]+')) > 0)
 SELECT doc_id, item_id FROM d JOIN b ON contains(t, ' ' || q || ' ')""")
 def contiguous_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark passage stands word for word."""

@@ -35,7 +35,7 @@ SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN CASE WHEN day(d) > 12 OR day(
 def report_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates as reports print them; a numeric one that could be read in two ways is refused."""
     k, d = F.col("o_orderkey") % 5, F.to_date("o_orderdate")
-    italian = F.element_at(F.array(*[F.lit(m[2]) for m in times.MONTHS]), F.month(d))
+    italian = F.element_at(F.array(*[F.lit(m[-2]) for m in times.MONTHS]), F.month(d))
     text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd/MM/yyyy")).when(k == 2, F.concat_ws(" ", F.dayofmonth(d), italian, F.year(d))).when(k == 3, F.date_format(d, "MMMM d, yyyy")).otherwise("31/02/2020")
     return _t(spark, sf_dir, "orders").select("o_orderkey", times.report_date(text).alias("day"))
 
@@ -92,15 +92,16 @@ def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT doc_id, source, sha256(text) AS body FROM documents WHERE doc_id % 10 <> 0),
-n AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE sha256(text) END AS body FROM documents WHERE doc_id % 9 <> 0)
+WITH o AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS body FROM documents),
+n AS (SELECT doc_id, source, sha256(translate(coalesce(text, ''), '#*$%&|<>', '')) AS body FROM documents)
 SELECT 'keep' AS what, o.doc_id FROM o JOIN n ON o.doc_id = n.doc_id AND o.body = n.body
 UNION ALL SELECT 'drop', o.doc_id FROM o LEFT JOIN n ON o.doc_id = n.doc_id AND o.body = n.body WHERE n.doc_id IS NULL
 UNION ALL SELECT 'insert', n.doc_id FROM n LEFT JOIN o ON o.doc_id = n.doc_id AND o.body = n.body WHERE o.doc_id IS NULL""")
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an incremental merge of two versions of the documents keeps, drops and inserts."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("body"))
-    old, new = d.where("doc_id % 10 <> 0"), d.where("doc_id % 9 <> 0").withColumn("body", F.when(F.col("doc_id") % 7 == 0, "changed").otherwise(F.col("body")))
+    """What an incremental merge of the documents with a version without markup symbols keeps, drops and inserts."""
+    text = F.coalesce("text", F.lit(""))
+    d = _t(spark, sf_dir, "documents")
+    old, new = (d.select("doc_id", "source", F.sha2(t, 256).alias("body")) for t in (text, F.translate(text, "#*$%&|<>", "")))
     plan = store.merge_plan(old, new, "doc_id", ["source", "body"])
     parts = [plan[k].select(F.lit(k).alias("what"), "doc_id") for k in ("keep", "drop", "insert")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -142,3 +143,96 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations by their number of turns."""
     u = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.max("turn").alias("last_turn"))
     return u.groupBy("turns").agg(F.count(F.lit(1)).alias("conversations"), F.sum("asked").alias("asked"), F.max("last_turn").alias("last_turn"))
+
+
+# ---- more of the generic operators
+
+
+@query("""
+WITH r AS (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity) - 1 AS k, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem)
+SELECT l_partkey, max(l_quantity) FILTER (k = CAST(floor(0.25 * (n - 1)) AS BIGINT)) AS lower, max(l_quantity) FILTER (k = CAST(floor(0.5 * (n - 1)) AS BIGINT)) AS middle, max(l_quantity) FILTER (k = CAST(floor(0.75 * (n - 1)) AS BIGINT)) AS upper FROM r GROUP BY 1""")
+def floor_rank_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles at the floor of their rank."""
+    return core.floor_ranks(_t(spark, sf_dir, "lineitem"), ["l_partkey"], "l_quantity", {"lower": 0.25, "middle": 0.5, "upper": 0.75})
+
+
+@query("""
+SELECT o_orderstatus, CAST(sum(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderpriority), 1, 12))::BIGINT) AS DECIMAL(38, 0)) AS digest, count(*) AS n FROM orders GROUP BY 1""")
+def order_free_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each group that doesn't depend on the order of its rows."""
+    return core.unordered_digest(_t(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey", "o_orderpriority"])
+
+
+@query("""
+SELECT user_id, CAST(ts AS DATE) AS day, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), event_type ORDER BY ts, event_id) = 1""")
+def first_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user, day and type wins."""
+    return core.first_by(_t(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["user_id", "day", "event_type"], ["ts", "event_id"], "event_id", "value")
+
+
+@query("""
+WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events),
+g AS (SELECT user_id, day, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) <= 30 THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT * FROM e))
+SELECT user_id, max(day) FILTER (fresh = 1) AS since, max(day) AS last_day FROM g GROUP BY 1""")
+def episode_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the current episode of each user begins: no gap of more than 30 days since."""
+    return core.episode_start(_t(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day")), ["user_id"], "day", gap=30)
+
+
+@query("""
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'extra' END AS what
+FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 49) a FULL JOIN (SELECT p_partkey AS k FROM part WHERE p_size > 25) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+def set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two sets of keys don't share: expected ones missing and extra ones (the edge check)."""
+    a = _t(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("k"))
+    b = _t(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").cast("long").alias("k"))
+    return core.set_differences(a, b, ["k"])
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1, 2),
+b AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_totalprice AS w FROM orders)
+SELECT a.k, a.day, round(v - w, 2) AS difference FROM a JOIN b ON a.k = b.k AND a.day = b.day""")
+def same_day_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values computed and reported for one subject on one day, and how they differ."""
+    a = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
+    b = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("w"))
+    return a.join(b, ["k", "day"]).select("k", "day", F.round(F.col("v") - F.col("w"), 2).alias("difference"))
+
+
+@query("""
+SELECT CASE WHEN years < 18 THEN '0-17' WHEN years >= 90 THEN '90+' ELSE CAST(floor((years - 18) / 12) * 12 + 18 AS INTEGER) || '-' || CAST(floor((years - 18) / 12) * 12 + 29 AS INTEGER) END AS band, count(*) AS n
+FROM (SELECT date_diff('year', CAST(o_orderdate AS DATE), DATE '2040-01-01') * 3 AS years FROM orders) GROUP BY 1""")
+def age_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by bands of a whole number of years."""
+    years = (F.lit(2040) - F.year("o_orderdate")) * 3
+    return _t(spark, sf_dir, "orders").groupBy(cl.age_band(years).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y') WHEN 1 THEN strftime(CAST(o_orderdate AS DATE), '%m/%Y') ELSE strftime(CAST(o_orderdate AS DATE), '%Y') END AS shown FROM orders""")
+def shown_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates shown as precisely as they are known."""
+    k = F.col("o_orderkey") % 3
+    precision = F.when(k == 0, "day").when(k == 1, "month").otherwise("year")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", times.shown(F.to_date("o_orderdate"), precision).alias("shown"))
+
+
+@query("""
+SELECT e.user_id, count(*) AS events FROM events e WHERE e.user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1""")
+def earlier_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of those subjects whom no earlier cohort holds."""
+    earlier = _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("long").alias("user_id"))
+    return _t(spark, sf_dir, "events").join(earlier, "user_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("""
+SELECT p_brand, rule, count(*) FILTER (status = 'met') AS met, count(*) FILTER (status = 'not_met') AS not_met, count(*) FILTER (status = 'not_assessable') AS not_assessable FROM (
+SELECT p_brand, 'size' AS rule, CASE WHEN p_size > 25 THEN 'met' ELSE 'not_met' END AS status FROM part UNION ALL
+SELECT p_brand, 'price', CASE WHEN p_size < 5 THEN 'not_assessable' WHEN p_retailprice > 1200 THEN 'met' ELSE 'not_met' END FROM part) GROUP BY 1, 2""")
+def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each rule was met, not met and not assessable."""
+    p = _t(spark, sf_dir, "part")
+    size = p.select("p_brand", F.lit("size").alias("rule"), F.when(F.col("p_size") > 25, "met").otherwise("not_met").alias("status"))
+    price = p.select("p_brand", F.lit("price").alias("rule"), F.when(F.col("p_size") < 5, "not_assessable").when(F.col("p_retailprice") > 1200, "met").otherwise("not_met").alias("status"))
+    return evaluation.rule_totals(size.unionByName(price), ("p_brand", "rule"))

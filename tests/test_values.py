@@ -29,20 +29,24 @@ def test_numbers(spark):
     assert many(spark, labs.comparator, ["=< 3", "≥4", "<5", "6"]) == ["<=", ">=", "<", None]
     assert many(spark, labs.half_unit, ["1.20", "1.2", "12"]) == pytest.approx([0.005, 0.05, 0.5])
     assert one(spark, labs.separator_evidence(F.lit("Hb 12,5 at 10:30 and 1.234"))) == [","]
+    assert many(spark, labs.separator_evidence, ["ore 08.30", "h. 12.30, 0.7", "12.30 h"]) == [[], ["."], ["."]]
+    assert [float(x) for x in many(spark, labs.number, ["1 234,5", "1'234.5", "12\u00a0345"])] == [1234.5, 1234.5, 12345.0]
 
 
 def test_units_and_names(spark):
     assert many(spark, labs.ucum, ["mg/dL", " µmol / L", "mL/min/1,73 m²", "mcg/L", "MG/G creat", "cups", None]) == ["mg/dL", "umol/L", "mL/min/{1.73_m2}", "ug/L", "mg/g", None, None]
     assert many(spark, labs.analyte_of_name, ["Creatinina sierica", "HGB", "eGFR (CKD-EPI)", "Velocità di filtrazione glomerulare stimata:", "Glucose"]) == ["creatinine", "hemoglobin", "egfr", "egfr", None]
     assert many(spark, labs.egfr_method, ["eGFR MDRD", "eGFR CKD-EPI 2021", "CKD EPI", "eGFR"]) == ["MDRD", "CKD-EPI 2021", "CKD-EPI", "unspecified"]
-    ranges = many(spark, labs.reference_range, ["[0.6 - 1.2]", "< 30", "up to 5", ">= 60", "fino a 3,5", "negative"])
-    assert [None if r is None else tuple(None if x is None else float(x) for x in r) for r in ranges] == [(0.6, 1.2), (None, 30.0), (None, 5.0), (60.0, None), (None, 3.5), None]
+    ranges = many(spark, labs.reference_range, ["[0.6 - 1.2]", "< 30", "up to 5", ">= 60", "fino a 3,5", "negative", "-2 ÷ +3", "=> 4", "above 7", "1—2", "=< 9"])
+    assert [None if r is None else tuple(None if x is None else float(x) for x in r) for r in ranges] == [(0.6, 1.2), (None, 30.0), (None, 5.0), (60.0, None), (None, 3.5), None, (-2.0, 3.0), (4.0, None), (7.0, None), (1.0, 2.0), (None, 9.0)]
 
 
 def test_dates(spark):
     got = many(spark, times.report_date, ["2025-03-01", "13/02/2025", "02/13/2025", "02/03/2025", "05/05/2025", "3 marzo 2025", "March 3, 2025", "31/02/2025", "soon"])
     d = date
     assert got == [d(2025, 3, 1), d(2025, 2, 13), d(2025, 2, 13), None, d(2025, 5, 5), d(2025, 3, 3), d(2025, 3, 3), None, None]
+    assert many(spark, times.report_date, ["3 Sept 2025", "Sept. 3, 2025"]) == [d(2025, 9, 3)] * 2
+    assert [one(spark, times.shown(F.lit("2025-03-04").cast("date"), F.lit(p))) for p in ("day", "month", "year", "instant")] == ["04/03/2025", "03/2025", "2025", "04/03/2025"]
     points = many(spark, times.timepoint, ["2025", "2025-02", "2025-02-30", "2025-01-01T23:30:00-05:00", "2025-01-01T23:30:00"])
     assert [p and (p["date"], p["precision"]) for p in points] == [(d(2025, 1, 1), "year"), (d(2025, 2, 1), "month"), None, (d(2025, 1, 1), "instant"), None]
     months = lambda a, b: one(spark, cl.completed_months(F.lit(a).cast("date"), F.lit(b).cast("date")))
@@ -63,7 +67,8 @@ def test_texts(spark):
     assert [len(p.split()) for p in text.packed(text.paragraphs(["Short one.", long]))] == [2, 200, 50] or len(text.packed([long])) == 2
     docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three five four six"), (3, None)], "id int, text string")
     quotes = spark.createDataFrame([(9, "Two, three four FIVE six"), (8, "six")], "q int, text string")
-    assert [tuple(r) for r in text.contiguous(docs, "id", "text", quotes, "q", "text").collect()] == [(1, 9)]
+    assert [tuple(r) for r in text.contiguous(docs, "id", "text", quotes, "q", "text").orderBy("q").collect()] == [(1, 8), (2, 8), (1, 9)]
+    assert text.contiguous(docs, "id", "text", quotes.limit(0), "q", "text").count() == 0
 
 
 def test_choice_without_repeats(spark):
@@ -71,6 +76,32 @@ def test_choice_without_repeats(spark):
     assert [r["id"] for r in retrieval.chosen(hits, "id", "text", excluded=["c"], limit=2).orderBy("rank").collect()] == ["a", "d"]
 
 
+def test_searches_for_many_queries(spark, monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    v = draw.normal(size=(60, 4)).round(3)
+    v[7] = 0
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(99, None)], "id long, v array<double>")
+    asked = rows.where("id % 10 = 0 or id = 7").withColumnRenamed("id", "q")
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 13)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
+    got = {}
+    for r in retrieval.dense_each(rows, "id", "v", asked, "q", "v", limit=5).collect():
+        got.setdefault(r["q"], {})[r["rank"]] = r["id"]
+    with np.errstate(invalid="ignore"):
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 60, 10):
+        score = {k: round(float(unit[q] @ unit[k]), 6) for k in range(60) if k != 7}
+        assert [got[q][k] for k in range(1, 6)] == sorted(score, key=lambda k: (-score[k], k))[:5]
+    assert 7 not in got
+    docs = spark.createDataFrame([(1, "kidney stone stone"), (2, "kidney"), (3, "other words"), (4, None)], "id long, text string")
+    quest = spark.createDataFrame([(5, "stone kidney"), (6, "nothing"), (7, None)], "q long, text string")
+    hits = retrieval.bm25_each(docs, "id", "text", quest, "q", "text", limit=2).collect()
+    assert [(r["q"], r["id"], r["rank"]) for r in sorted(hits, key=lambda r: r["rank"])] == [(5, 1, 1), (5, 2, 2)]
+    assert retrieval.dense_each(rows.limit(0), "id", "v", asked, "q", "v").count() == 0
+
+
 def test_runs_and_ranks(spark):
     e = spark.createDataFrame([("u", k, v) for k, v in enumerate([1, 9, 1, 1])] + [("w", 0, 9), ("n", 0, None)], "k string, t int, v int")
     got = core.trailing_run(e, ["k"], ["t"], F.col("v") < 5, F.date_add(F.lit("2020-01-01"), F.col("t")), span_days=1).collect()
