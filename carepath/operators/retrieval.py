@@ -76,7 +76,8 @@ def _in_blocks(rows: DataFrame, queries: DataFrame, run: Callable[[pd.DataFrame]
     size of a block; no pair is a row.
     """
     n_rows, n_queries = rows.count(), queries.count()
-    across, down = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    tasks = min(2 * rows.sparkSession.sparkContext.defaultParallelism, max(1, n_rows))  # small tables use all cores too
+    across, down = max(tasks, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
     left = rows.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(across)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("side", F.lit(0))
     right = queries.withColumn("y", F.pmod(F.xxhash64("q"), F.lit(down)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("side", F.lit(1))
     return left.unionByName(right, allowMissingColumns=True).groupBy("x", "y").applyInPandas(run, schema)
