@@ -24,7 +24,8 @@ from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ from pyspark.sql.window import Window
 from carepath.llm.common import stored, valid
 from carepath.llm.prefix_counts import byte_letters
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Tokens of a sequence, rounds of the program and how far one round moves a price.
 SEQUENCE, ROUNDS, STEP = 2048, 24, 0.15
 #: Parts between blanks that a task remembers in each of two generations, and the longest it keeps.
@@ -68,7 +72,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         path = name if "/" in name else public_tokenizers.path(name)
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec["added_tokens"]]
@@ -82,6 +86,13 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.remember = KEPT_PARTS
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """For texts that are no plain ones; made when the first comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _learn(self, parts: list[str]) -> None:
         """Puts the ids of new parts without blanks into the young generation."""
         pieces = PIECES.findall("\n".join(parts).lower() + "\n")
