@@ -11,6 +11,7 @@ from carepath.functions import clinical as cl
 from carepath.functions import labs
 from carepath.functions import text as tx
 from carepath.operators import core, retrieval
+from carepath.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -341,7 +342,7 @@ def monthly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def cache_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that no earlier result covers."""
-    return _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return store.todo(_t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256")), _t(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query(r"""

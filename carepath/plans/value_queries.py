@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from carepath.functions import clinical as cl
 from carepath.functions import labs, times
-from carepath.operators import core, evaluation
+from carepath.functions import text as tx
+from carepath.operators import core, evaluation, quotes
 from carepath.plans.table_queries import AS_OF, _t, query
 from carepath.sources import store
 
@@ -236,3 +237,19 @@ def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = p.select("p_brand", F.lit("size").alias("rule"), F.when(F.col("p_size") > 25, "met").otherwise("not_met").alias("status"))
     price = p.select("p_brand", F.lit("price").alias("rule"), F.when(F.col("p_size") < 5, "not_assessable").when(F.col("p_retailprice") > 1200, "met").otherwise("not_met").alias("status"))
     return evaluation.rule_totals(size.unionByName(price), ("p_brand", "rule"))
+
+
+@query(r"""
+WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\pL\pN]+') AS ws FROM conversations),
+u AS (SELECT conv_id, turn, k, ws[k] AS word FROM (SELECT conv_id, turn, ws, unnest(range(1, len(ws) + 1)) AS k FROM w)),
+s AS (SELECT conv_id, turn, word, lead(word) OVER x AS next, lead(turn) OVER x AS last FROM u WINDOW x AS (PARTITION BY conv_id ORDER BY turn, k)),
+q AS (SELECT conv_id, turn, ws[1] AS a, ws[2] AS b FROM w WHERE len(ws) >= 2)
+SELECT q.conv_id, q.turn, count(*) AS places, min(s.turn) AS first_turn, max(s.last) AS last_turn FROM q JOIN s ON q.conv_id = s.conv_id AND word = a AND next = b GROUP BY 1, 2""")
+def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first two words of each turn stand in its conversation, across turns as well."""
+    c = _t(spark, sf_dir, "conversations")
+    pages = c.select(F.col("conv_id").alias("document"), F.col("turn").alias("number"), F.col("turn").cast("string").alias("label"), "text")
+    asked = c.withColumn("ws", tx.words(F.col("text"))).where("size(ws) >= 2").select(F.struct("conv_id", "turn").alias("quote_id"), F.col("conv_id").alias("document"), F.array_join(F.slice("ws", 1, 2), " ").alias("quote"))
+    found = quotes.places(asked, pages, cut=tx.words).where("size(hits) > 0")
+    first, last = F.transform("hits", lambda h: h["first"]["number"]), F.transform("hits", lambda h: h["last"]["number"])
+    return found.select("quote_id.conv_id", "quote_id.turn", F.size("hits").cast("long").alias("places"), F.array_min(first).alias("first_turn"), F.array_max(last).alias("last_turn"))
