@@ -22,15 +22,21 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return out
 
 
+def run_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], abnormal: Column) -> DataFrame:
+    """The rows of the abnormal run that ends at each key's latest row; a null `abnormal` breaks a run."""
+    marked = df.withColumn("__at", F.struct(*order)).withColumn("__abnormal", F.coalesce(abnormal, F.lit(False)))
+    breaks = marked.where(~F.col("__abnormal")).groupBy(*keys).agg(F.max("__at").alias("__break"))
+    after = marked.where("__abnormal").join(breaks, list(keys), "left").where("__break is null or __at > __break")
+    return after.drop("__at", "__abnormal", "__break")
+
+
 def trailing_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], abnormal: Column, day: Column, *, least: int = 2, span_days: int = 90) -> DataFrame:
     """The run of abnormal rows that ends at each key's latest row: n, first_day, last_day, span, persistent.
 
     A key whose latest row is not abnormal has no run and no row here. A null `abnormal` breaks a run.
     """
-    at = F.struct(*order)
-    marked = df.select(*keys, at.alias("__at"), F.coalesce(abnormal, F.lit(False)).alias("__abnormal"), day.alias("__day"))
-    breaks = marked.where(~F.col("__abnormal")).groupBy(*keys).agg(F.max("__at").alias("__break"))
-    after = marked.where("__abnormal").join(breaks, list(keys), "left").where("__break is null or __at > __break")
+    rows = df.select(*keys, *[c for c in order if c not in keys], abnormal.alias("__is"), day.alias("__day"))
+    after = run_rows(rows, keys, order, F.col("__is"))
     span = F.date_diff(F.max("__day"), F.min("__day"))
     out = after.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__day").alias("first_day"), F.max("__day").alias("last_day"), span.cast("long").alias("span"))
     return out.withColumn("persistent", (F.col("n") >= least) & (F.col("span") >= span_days))

@@ -34,6 +34,56 @@ RAS = {
 }
 EGFR_BELOW, ACR_FROM, SPAN_DAYS, DIALYSIS_DAYS = 60, 30, 90, 30
 METFORMIN_STOP, METFORMIN_CAUTION = 30, 45
+EVIDENCE = "array<struct<date:date,label:string,value:string,note:string,node:string>>"
+ASSESSMENT = ("patient", "rule", "status", "category", "reason", "evidence")
+
+# What a flag or note of each rule says: kind, title, statement, sources, limitations.
+_ELSEWHERE = "Tests and treatment elsewhere, not on this record, are not seen."
+_MARKERS = "Of the signs of kidney damage only eGFR and urine ACR are read, and acute injury is not ruled out."
+WORDING = {
+    "ckd_no_diagnosis": ("criteria_met_no_diagnosis", "Kidney values meet the CKD criteria and no kidney diagnosis is on record", "The values shown stayed abnormal for 90 days or more.", ("KDIGO 2024",), (_MARKERS,)),
+    "anaemia_no_diagnosis": ("criteria_met_no_diagnosis", "Haemoglobin is under the cutoff and no anaemia diagnosis is on record", "The latest haemoglobin is under every cutoff that applies.", ("WHO 2024",), ("One value does not tell a cause.",)),
+    "gfr_due": ("follow_up_due", "A kidney filtration test is due", "None is on record in the last 12 months.", ("KDIGO 2024",), (_ELSEWHERE,)),
+    "albuminuria_due": ("follow_up_due", "A urine albumin test is due", "None is on record in the last 12 months.", ("KDIGO 2024",), (_ELSEWHERE,)),
+    "haemoglobin_due": ("follow_up_due", "A haemoglobin test is due", "None is on record within the interval for this stage.", ("KDIGO 2012",), (_ELSEWHERE,)),
+    "metformin_stop": ("label", "Metformin is active with an eGFR under 30", "The label advises against its use at this level.", ("drug label",), (_ELSEWHERE,)),
+    "metformin_caution": ("label", "Metformin is active with an eGFR under 45", "The label asks to weigh benefit and risk at this level.", ("drug label",), (_ELSEWHERE,)),
+    "epoetin_haemoglobin_due": ("label", "Epoetin is active and a haemoglobin test is due", "None is on record in the last month.", ("drug label",), (_ELSEWHERE,)),
+    "ras_nsaid": ("note", "A RAS drug and an NSAID are active together", "Their labels name each other.", ("drug label",), ("Over-the-counter use is not on record.",)),
+}
+
+
+def _fact(day: Column, label: Column | str, value: Column | None, note: Column | None, node: Column) -> Column:
+    """One item of evidence; null without a node."""
+    text = lambda c: (F.lit(None) if c is None else F.lit(c) if isinstance(c, str) else c).cast("string")
+    names = ("date", "label", "value", "note", "node")
+    made = (day.cast("date"), text(label), text(value), text(note), text(node))
+    return F.when(node.isNotNull(), F.named_struct(*[x for k, c in zip(names, made, strict=True) for x in (F.lit(k), c)]))
+
+
+def _facts(*facts: Column) -> Column:
+    return F.array_distinct(F.array_compact(F.array(*facts))).cast(EVIDENCE)
+
+
+def _number(value: Column) -> Column:
+    """A value without the zeros of its type's scale."""
+    return F.regexp_replace(value.cast("double").cast("string"), r"\.0$", "")
+
+
+def _hb_fact(cut: Column | None = None) -> Column:
+    note = None if cut is None else F.concat(F.lit("cutoff "), F.array_join(F.array_sort(F.array_distinct(cut)), " or "), F.lit(" g/L"))
+    return _fact(F.col("day"), "haemoglobin", F.concat(F.coalesce("comparator", F.lit("")), _number(F.col("g_l")), F.lit(" g/L")), note, F.col("node"))
+
+
+def _gfr_fact() -> Column:
+    value, note = F.concat(F.col("whole").cast("string"), F.lit(" mL/min/1.73 m2")), F.concat(F.lit("creatinine "), _number(F.col("creatinine")), F.lit(" mg/dL"))
+    return _fact(F.col("day"), "eGFR computed from creatinine", value, note, F.col("node"))
+
+
+def _assessment(df: DataFrame) -> DataFrame:
+    """Rows in the shape of all assessments; what a rule has not is null."""
+    none = {"evidence": F.array().cast(EVIDENCE)}
+    return df.select(*[F.col(c) if c in df.columns else none.get(c, F.lit(None).cast("string")).alias(c) for c in ASSESSMENT])
 
 
 @dataclass(frozen=True)
@@ -80,24 +130,34 @@ def _recorded(c: Context, codes: tuple[str, ...]) -> DataFrame:
 def assess_ckd(c: Context, egfr: DataFrame) -> DataFrame:
     """status (met, not_met, not_assessable), since, category, of every evaluated patient."""
     order = ["day", "instant", "node"]
-    gfr = egfr.where("whole is not null").select("patient", *order, (F.col("whole") < EGFR_BELOW).alias("abnormal"), "whole")
-    acr = c.points.where("analyte = 'urine_acr'").select("patient", *order, "value", "comparator", cl.at_least(F.col("value"), F.col("comparator"), ACR_FROM).alias("abnormal"))
-    runs = [core.trailing_run(x.where("abnormal is not null"), ["patient"], order, F.col("abnormal"), F.col("day"), span_days=SPAN_DAYS).where("persistent") for x in (gfr, acr)]
-    since = runs[0].unionByName(runs[1]).groupBy("patient").agg(F.min("first_day").alias("since"))
-    latest_g = core.latest_by(gfr, ["patient"], order, "whole").select("patient", cl.gfr_category(F.col("whole")).alias("g"), F.col("whole").alias("latest_egfr"))
-    latest_a = core.latest_by(acr, ["patient"], order, "value", "comparator").select("patient", F.when(F.col("comparator").isNull(), cl.albuminuria_category(F.col("value"))).alias("a"), F.lit(True).alias("has_acr"))
-    out = c.patient.select("patient").join(since, "patient", "left").join(latest_g, "patient", "left").join(latest_a, "patient", "left")
-    status = F.when(F.col("since").isNotNull(), "met").when(F.col("g").isNull() & F.col("has_acr").isNull(), "not_assessable").otherwise("not_met")
-    return out.select("patient", F.lit("ckd_criteria").alias("rule"), status.alias("status"), "since", F.concat_ws(" ", "g", "a").alias("category"), "g", "latest_egfr")
+    gfr = egfr.where("whole is not null").select("patient", *order, (F.col("whole") < EGFR_BELOW).alias("abnormal"), "whole", _gfr_fact().alias("fact"))
+    shown = F.concat(F.coalesce("comparator", F.lit("")), _number(F.col("value")), F.lit(" mg/g"))
+    acr = c.points.where("analyte = 'urine_acr'").select("patient", *order, "value", "comparator", cl.at_least(F.col("value"), F.col("comparator"), ACR_FROM).alias("abnormal"), _fact(F.col("day"), "urine ACR", shown, None, F.col("node")).alias("fact"))
+    out = c.patient.select("patient")
+    for name, x in (("gfr", gfr), ("acr", acr.where("abnormal is not null"))):
+        run = core.run_rows(x, ["patient"], order, F.col("abnormal"))
+        picks = core.evidence_picks(run, ["patient"], order, "day", "fact", days=SPAN_DAYS).where("later is not null")
+        out = out.join(picks.select("patient", F.col("first.date").alias(f"since_{name}"), _facts(F.col("first"), F.col("later"), F.col("latest")).alias(f"run_{name}")), "patient", "left")
+    latest_g = core.latest_by(gfr, ["patient"], order, "whole", "fact").select("patient", cl.gfr_category(F.col("whole")).alias("g"), F.col("whole").alias("latest_egfr"), F.col("fact").alias("fact_g"))
+    a = F.when(F.col("comparator").isNull(), cl.albuminuria_category(F.col("value"))).alias("a")
+    latest_a = core.latest_by(acr, ["patient"], order, "value", "comparator").select("patient", a, F.lit(True).alias("has_acr"))
+    judged = core.latest_by(acr.where("abnormal is not null"), ["patient"], order, "fact").withColumnRenamed("fact", "fact_a")
+    out = out.join(latest_g, "patient", "left").join(latest_a, "patient", "left").join(judged, "patient", "left").withColumn("since", F.least("since_gfr", "since_acr"))
+    status = F.when(F.col("since").isNotNull(), "met").when(F.col("g").isNull() & F.col("fact_a").isNull(), "not_assessable").otherwise("not_met")
+    none = F.array().cast(EVIDENCE)
+    evidence = F.when(F.col("since").isNotNull(), F.concat(F.coalesce("run_gfr", none), F.coalesce("run_acr", none))).otherwise(_facts(F.col("fact_g"), F.col("fact_a")))
+    why = F.concat(F.lit("no eGFR could be computed; "), F.when(F.col("has_acr"), "no urine ACR that tells a category").otherwise("no usable urine ACR"))
+    category = F.concat_ws(" ", "g", "a")
+    return out.select("patient", F.lit("ckd_criteria").alias("rule"), status.alias("status"), "since", F.when(category != "", category).alias("category"), "g", "latest_egfr", F.when(status == "not_assessable", why).alias("reason"), evidence.alias("evidence"))
 
 
 def ckd_without_diagnosis(c: Context, ckd: DataFrame) -> DataFrame:
     """Patients who meet the criteria and have neither a kidney diagnosis that still stood nor dialysis since."""
-    met = ckd.where("status = 'met'").select("patient", "since")
+    met = ckd.where("status = 'met'").select("patient", "since", "evidence")
     known = _recorded(c, KIDNEY).select("patient", "abatement")
     stood = core.within(met, known, ["patient"], F.expr("r.abatement is null or r.abatement >= l.since"), there=False)
     sessions = c.procedures.where(F.col("code") == DIALYSIS).select("patient", "day")
-    return core.within(stood, sessions, ["patient"], F.expr("r.day >= l.since"), there=False).select("patient", F.lit("ckd_no_diagnosis").alias("rule"))
+    return core.within(stood, sessions, ["patient"], F.expr("r.day >= l.since"), there=False).select("patient", F.lit("ckd_no_diagnosis").alias("rule"), "evidence")
 
 
 def assess_anaemia(c: Context) -> DataFrame:
@@ -121,16 +181,17 @@ def assess_anaemia(c: Context) -> DataFrame:
         .otherwise("not_assessable")
     )
     reason = F.when(F.col("g_l").isNull(), "no usable haemoglobin").when(F.col("birth").isNull(), "no birth date").when(F.col("cut").isNull(), "no cutoff for the age").otherwise("the cutoffs that apply disagree")
-    return x.select("patient", F.lit("anaemia_criteria").alias("rule"), status.alias("status"), "day", "g_l", "cut", "node", F.when(status == "not_assessable", reason).alias("reason"))
+    return x.select("patient", F.lit("anaemia_criteria").alias("rule"), status.alias("status"), "day", "g_l", "cut", "node", F.when(status == "not_assessable", reason).alias("reason"), _facts(_hb_fact(F.col("cut"))).alias("evidence"))
 
 
 def anaemia_without_diagnosis(c: Context, anaemia: DataFrame) -> DataFrame:
-    met = anaemia.where("status = 'met'").select("patient", "day")
-    return core.within(met, _recorded(c, ANAEMIA).select("patient", "abatement"), ["patient"], F.expr("r.abatement is null or r.abatement >= l.day"), there=False).select("patient", F.lit("anaemia_no_diagnosis").alias("rule"))
+    met = anaemia.where("status = 'met'").select("patient", "day", "evidence")
+    return core.within(met, _recorded(c, ANAEMIA).select("patient", "abatement"), ["patient"], F.expr("r.abatement is null or r.abatement >= l.day"), there=False).select("patient", F.lit("anaemia_no_diagnosis").alias("rule"), "evidence")
 
 
 def _last(c: Context, *analytes: str) -> DataFrame:
-    return c.tests.where(F.col("analyte").isin(*analytes)).groupBy("patient").agg(F.max("day").alias("last"))
+    """The day and node of each patient's last test of these analytes, usable or not."""
+    return c.tests.where(F.col("analyte").isin(*analytes)).groupBy("patient").agg(F.max(F.struct("day", "node")).alias("last"))
 
 
 def follow_up(c: Context, ckd: DataFrame) -> DataFrame:
@@ -147,29 +208,36 @@ def follow_up(c: Context, ckd: DataFrame) -> DataFrame:
     for name, last in (("gfr", _last(c, "creatinine", "egfr")), ("acr", _last(c, "urine_acr")), ("protein", _last(c, "urine_protein")), ("hb", _last(c, "hemoglobin"))):
         x = x.join(last.withColumnRenamed("last", name), "patient", "left")
     x = x.withColumn("albumin", F.when(young, F.greatest("acr", "protein")).otherwise(F.col("acr")))
-    year, tests = F.lit(12), []
-    for rule, last, months, applies in (("gfr_due", "gfr", year, F.lit(True)), ("albuminuria_due", "albumin", year, F.lit(True)), ("haemoglobin_due", "hb", hb_months, F.lit(True))):
-        due = F.col(last).isNull() | (F.col(last) < F.add_months(c.as_of, -months))
-        status = F.when(F.col("failed") | months.isNull(), "not_assessable").when(due, "met").otherwise("not_met")
-        tests.append(x.where(applies).select("patient", F.lit(rule).alias("rule"), status.alias("status"), F.col(last).alias("last_test")))
+    outside, tests = "kidney failure, dialysis or transplant is outside these rules", []
+    for rule, last, months, label in (("gfr_due", "gfr", F.lit(12), "last filtration test"), ("albuminuria_due", "albumin", F.lit(12), "last urine test"), ("haemoglobin_due", "hb", hb_months, "last haemoglobin test")):
+        day = F.col(last)["day"]
+        due = day.isNull() | (day < F.add_months(c.as_of, -months))
+        reason = F.when(F.col("failed"), outside).when(months.isNull(), "an interval is set for stages 3 to 5 only")
+        status = F.when(reason.isNotNull(), "not_assessable").when(due, "met").otherwise("not_met")
+        evidence = F.when(reason.isNull(), _facts(_fact(day, label, None, None, F.col(last)["node"]))).otherwise(F.array().cast(EVIDENCE))
+        tests.append(x.select("patient", F.lit(rule).alias("rule"), status.alias("status"), day.alias("last_test"), reason.alias("reason"), evidence.alias("evidence")))
     return reduce(DataFrame.unionByName, tests)
 
 
 def medications(c: Context, egfr: DataFrame) -> DataFrame:
-    """(patient, rule, status, detail) of the metformin, epoetin and RAS with NSAID rules, for those with the drug active."""
-    latest = core.latest_by(egfr.where("whole is not null"), ["patient"], ["day", "instant", "node"], "whole")
-    drugs = c.drugs.join(c.patient.select("patient"), "patient").where("status = 'active'")
-    met = drugs.where(F.col("code") == METFORMIN).select("patient").join(latest, "patient", "left")
-    w = F.col("whole")
+    """(patient, rule, status, detail, reason, evidence) of the metformin, epoetin and RAS with NSAID rules, for those with the drug active."""
+    latest = core.latest_by(egfr.where("whole is not null").withColumn("fact", _gfr_fact()), ["patient"], ["day", "instant", "node"], "whole", "fact")
+    drug = _fact(F.col("day"), F.col("label"), F.col("status"), None, F.col("node")).alias("drug")
+    drugs = c.drugs.join(c.patient.select("patient"), "patient").where("status = 'active'").select("patient", "code", "label", "day", "node", drug)
+    met = drugs.where(F.col("code") == METFORMIN).select("patient", "drug").join(latest, "patient", "left")
+    w, none = F.col("whole"), F.lit(None).cast("string")
     status = F.when(w.isNull(), "not_assessable").when(w < METFORMIN_CAUTION, "met").otherwise("not_met")
-    a = met.select("patient", F.when(w < METFORMIN_STOP, "metformin_stop").otherwise("metformin_caution").alias("rule"), status.alias("status"), w.cast("string").alias("detail"))
-    epo = drugs.where(F.col("code") == EPOETIN).select("patient").join(_last(c, "hemoglobin"), "patient", "left")
-    due = F.col("last").isNull() | (F.col("last") < F.add_months(c.as_of, -1))
-    b = epo.select("patient", F.lit("epoetin_haemoglobin_due").alias("rule"), F.when(due, "met").otherwise("not_met").alias("status"), F.col("last").cast("string").alias("detail"))
+    rule = F.when(w < METFORMIN_STOP, "metformin_stop").otherwise("metformin_caution")
+    a = met.select("patient", rule.alias("rule"), status.alias("status"), w.cast("string").alias("detail"), F.when(w.isNull(), "no eGFR could be computed").alias("reason"), _facts(F.col("drug"), F.col("fact")).alias("evidence"))
+    epo = drugs.where(F.col("code") == EPOETIN).select("patient", "drug").join(_last(c, "hemoglobin"), "patient", "left")
+    day = F.col("last")["day"]
+    due = day.isNull() | (day < F.add_months(c.as_of, -1))
+    b = epo.select("patient", F.lit("epoetin_haemoglobin_due").alias("rule"), F.when(due, "met").otherwise("not_met").alias("status"), day.cast("string").alias("detail"), none.alias("reason"), _facts(F.col("drug"), _fact(day, "last haemoglobin test", None, None, F.col("last")["node"])).alias("evidence"))
     table = F.create_map(*[F.lit(x) for g, codes in RAS.items() for code in codes for x in (_RX + code, g)])
-    ras = drugs.withColumn("group", F.try_element_at(table, F.col("code"))).where("group is not null").select("patient", "group").distinct()
-    nsaid = core.latest_by(drugs.where(F.col("code").isin(*NSAIDS)), ["patient"], ["day", "node"], "label")
-    d = ras.join(nsaid, "patient").select("patient", F.lit("ras_nsaid").alias("rule"), F.lit("note").alias("status"), F.concat_ws(" + ", "group", "label").alias("detail"))
+    ras = drugs.withColumn("group", F.try_element_at(table, F.col("code"))).where("group is not null")
+    ras = core.latest_by(ras, ["patient", "group"], ["day", "node"], "drug").withColumnRenamed("drug", "ras")
+    nsaid = core.latest_by(drugs.where(F.col("code").isin(*NSAIDS)), ["patient"], ["day", "node"], "label", "drug")
+    d = ras.join(nsaid, "patient").select("patient", F.lit("ras_nsaid").alias("rule"), F.lit("note").alias("status"), F.concat_ws(" + ", "group", "label").alias("detail"), none.alias("reason"), _facts(F.col("ras"), F.col("drug")).alias("evidence"))
     return a.unionByName(b).unionByName(d)
 
 
@@ -204,14 +272,23 @@ def guarded(flags: DataFrame, unread_: DataFrame) -> DataFrame:
     return flags.join(unchecked, ["patient", "rule"], "left_anti")
 
 
+def worded(flags: DataFrame) -> DataFrame:
+    """Flags (patient, rule, evidence) with what they say, in the shape that evidence.pack reads beside statements and passages."""
+    form = "struct<kind:string,title:string,statement:string,sources:array<string>,limitations:array<string>>"
+    strings = lambda xs: F.array(*map(F.lit, xs))
+    said = [x for rule, (kind, title, text, sources, limits) in WORDING.items() for x in (F.lit(rule), F.struct(F.lit(kind), F.lit(title), F.lit(text), strings(sources), strings(limits)).cast(form))]
+    out = flags.withColumn("said", F.try_element_at(F.create_map(*said), F.col("rule")))
+    return out.select("patient", "rule", "said.kind", "said.title", "said.statement", "evidence", "said.sources", "said.limitations")
+
+
 def evaluate(patient: DataFrame, n: DataFrame, points: DataFrame, as_of: str, *, guard: bool = True) -> dict[str, DataFrame]:
-    """Assessments and flags of every patient alive on the day."""
+    """Assessments and flags, with their evidence, of every patient alive on the day."""
     c = context(patient, n, points, as_of)
     egfr = computed_egfr(c)
     ckd, anaemia, meds = assess_ckd(c, egfr), assess_anaemia(c), medications(c, egfr)
     due = follow_up(c, ckd)
-    every = [ckd.select("patient", "rule", "status"), anaemia.select("patient", "rule", "status"), due.select("patient", "rule", "status"), meds.select("patient", "rule", "status")]
-    hit = lambda df: df.where(F.col("status").isin("met", "note")).select("patient", "rule")
-    flags = reduce(DataFrame.unionByName, [ckd_without_diagnosis(c, ckd), anaemia_without_diagnosis(c, anaemia), hit(due), hit(meds)])
+    hit = lambda df: df.where(F.col("status").isin("met", "note")).select("patient", "rule", "evidence")
+    flags = worded(reduce(DataFrame.unionByName, [ckd_without_diagnosis(c, ckd), anaemia_without_diagnosis(c, anaemia), hit(due), hit(meds)]))
     missed = unread(n, c.as_of)
-    return {"assessment": reduce(DataFrame.unionByName, every), "flag": guarded(flags, missed) if guard else flags, "computed_egfr": egfr, "unread": missed}
+    every = reduce(DataFrame.unionByName, map(_assessment, (ckd, anaemia, due, meds)))
+    return {"assessment": every, "flag": guarded(flags, missed) if guard else flags, "computed_egfr": egfr, "unread": missed}

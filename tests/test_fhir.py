@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from carepath.operators import graph, rules
+from carepath.operators import evidence, graph, rules
 from carepath.sources import fhir
 
 LOINC, SNOMED, RX, UCUM = "http://loinc.org", "http://snomed.info/sct", "http://www.nlm.nih.gov/research/umls/rxnorm", "http://unitsofmeasure.org"
@@ -144,3 +144,14 @@ def test_rules(built):
     assert {"ckd_no_diagnosis", "albuminuria_due", "ras_nsaid"} <= flags
     egfr = out["computed_egfr"].where("node = 'lab_result:o2'").first()
     assert abs(egfr["egfr"] - 39.6) < 1.5 and egfr["whole"] == int(egfr["egfr"] + 0.5)
+    held = {x["rule"]: x for x in out["flag"].collect()}
+    run = held["ckd_no_diagnosis"]["evidence"]
+    assert [(x["date"], x["node"]) for x in run] == [(date(2025, 1, 10), "lab_result:o1"), (date(2025, 4, 25), "lab_result:o3")] and run[0]["value"].endswith("mL/min/1.73 m2")
+    assert {x["node"] for x in held["ras_nsaid"]["evidence"]} == {"medication_request:m1", "medication_request:m2"}
+    assert held["albuminuria_due"]["evidence"] == [] and held["albuminuria_due"]["limitations"]
+    packed = evidence.pack(out["flag"].withColumn("statements", F.array().cast("array<struct<id:string,citation:string,quote:string>>")).withColumn("passages", F.array().cast("array<struct<id:string,title:string,place:string,text:string>>")))
+    assert packed.where("rule = 'ckd_no_diagnosis' and kind = 'evidence'").count() == 2
+    said = {x["rule"]: x for x in out["assessment"].collect()}
+    assert said["anaemia_criteria"]["reason"] is None and said["anaemia_criteria"]["evidence"][0]["note"] == "cutoff 120 g/L"
+    nothing = rules.evaluate(patient, n, points.limit(0), "2026-01-01")["assessment"].where("rule = 'ckd_criteria'").first()
+    assert nothing["status"] == "not_assessable" and nothing["reason"].startswith("no eGFR") and nothing["evidence"] == []
