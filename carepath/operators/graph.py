@@ -6,6 +6,7 @@ equi-join on analyte and day with a residual condition on the values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -133,23 +134,57 @@ def precedes(points: DataFrame, n: DataFrame) -> DataFrame:
     return steps.select("patient", "src", "dst", F.lit("precedes").alias("kind")).unionByName(core.precedes(met, ["patient"], ["day", "instant", "node"], "node").withColumn("kind", F.lit("precedes")))
 
 
-def violations(n: DataFrame, e: DataFrame) -> DataFrame:
-    """(patient, what, item) of everything that a graph must not have; empty for a sound graph."""
+def violations(n: DataFrame, e: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """(patient, what, item) of everything that a graph must not have; empty for a sound graph.
+
+    With the points of series(), and `e` holding the precedes edges, the series are checked as well.
+    """
     kinds = n.select("patient", F.col("node"), "kind")
     ends = e.alias("e").join(kinds.select(F.col("patient").alias("sp"), F.col("node").alias("sn"), F.col("kind").alias("src_kind")), F.expr("e.patient = sp and src = sn"), "left")
     ends = ends.join(kinds.select(F.col("patient").alias("dp"), F.col("node").alias("dn"), F.col("kind").alias("dst_kind")), F.expr("e.patient = dp and dst = dn"), "left").select("e.*", "src_kind", "dst_kind")
+    joined = ends.where("src_kind is not null and dst_kind is not null")
     allowed = F.lit(False)
     for kind, (src, dst) in ALLOWED.items():
         allowed |= (F.col("kind") == kind) & F.col("src_kind").isin(*src) & F.col("dst_kind").isin(*dst)
     found = lambda df, what, item: df.select("patient", F.lit(what).alias("what"), F.col(item).alias("item"))
     twice = n.groupBy("patient", "node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return reduce(DataFrame.unionByName, [
+    measured = F.col("kind").isin("lab_result", "report_row")
+    sound = (F.coalesce("status", F.lit("")) == "ok") & F.col("start").isNotNull()
+    repeats = same_measurement(n).select("patient", F.col("row").alias("src"), F.col("result").alias("dst"))
+    out = [
         found(twice, "node twice", "node"),
+        found(n.where(~F.col("node").startswith(F.concat("kind", F.lit(":")))), "node named for another kind", "node"),
+        found(n.where(measured & (F.coalesce("usable", F.lit(False)) != sound)), "usable against its status or date", "node"),
+        found(n.where("kind = 'report_row' and usable and analyte is null"), "usable row without an analyte", "node"),
         found(ends.where("src_kind is null or dst_kind is null"), "edge without an end", "src"),
-        found(ends.where(F.col("src_kind").isNotNull() & F.col("dst_kind").isNotNull() & ~allowed), "edge between kinds that it may not join", "src"),
+        found(joined.where(~allowed), "edge between kinds that it may not join", "src"),
         found(e.where("src = dst"), "edge to itself", "src"),
+        found(joined.where("kind = 'same_measurement'").join(repeats, ["patient", "src", "dst"], "left_anti"), "repeat whose values don't agree", "src"),
         found(n.where("usable and (value is null or start is null)"), "usable without value or date", "node"),
-    ])
+    ]
+    return reduce(DataFrame.unionByName, out if points is None else [*out, *_series_violations(n, e, points, found)])
+
+
+def _series_violations(n: DataFrame, e: DataFrame, points: DataFrame, found: Callable[[DataFrame, str, str], DataFrame]) -> list[DataFrame]:
+    key = ["patient", "node"]
+    usable = F.coalesce("usable", F.lit(False))
+    values = n.where(F.col("kind").isin("lab_result", "report_row")).select(*key, "kind", usable.alias("usable"), F.col("analyte").alias("of"))
+    at = points.select(*key, "analyte")
+    placed = values.join(at, key)
+    loose = values.where("usable").join(at, key, "left_anti")
+    held = e.where("kind = 'same_measurement'").join(at.select("patient", F.col("node").alias("dst")), ["patient", "dst"], "left_semi").select("patient", F.col("src").alias("node"))
+    step = ["patient", "src", "dst"]
+    steps = e.where("kind = 'precedes'").join(values.select("patient", F.col("node").alias("src")), ["patient", "src"], "left_semi").select(*step)
+    due = core.precedes(points, ["patient", "analyte"], ["day", "instant", "node"], "node").select(*step)
+    return [
+        found(at.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "in more than one series", "node"),
+        found(placed.where("not usable"), "not usable but in a series", "node"),
+        found(placed.where(~F.col("of").eqNullSafe(F.col("analyte"))), "in the series of another analyte", "node"),
+        found(loose.where("kind = 'lab_result'"), "usable result missing from its series", "node"),
+        found(loose.where("kind = 'report_row'").join(held, key, "left_anti"), "usable row neither in a series nor a repeat", "node"),
+        found(steps.join(due, step, "left_anti"), "step between values that don't follow each other", "src"),
+        found(due.join(steps, step, "left_anti"), "missing step between values", "src"),
+    ]
 
 
 def digest(n: DataFrame, e: DataFrame) -> DataFrame:

@@ -124,8 +124,11 @@ def test_graph(built):
     assert not any(k == "same_measurement" and s.endswith(":2") for s, _, k in kinds)
     assert points.where("node = 'lab_result:o3'").first()["corroborated_by"] == ["report_row:rep:0"]
     every = e.unionByName(graph.precedes(points, n))
-    assert graph.violations(n, every).count() == 0
+    assert graph.violations(n, every, points).count() == 0
     assert graph.violations(n, every.limit(1).withColumn("dst", F.lit("gone"))).count() == 1
+    bad = n.withColumn("kind", F.when(F.col("node") == "condition:c1", "encounter").otherwise(F.col("kind"))).withColumn("usable", F.when(F.col("node") == "lab_result:o2", False).otherwise(F.col("usable")))
+    whats = {x["what"] for x in graph.violations(bad, every.where("kind <> 'precedes'"), points).collect()}
+    assert {"node named for another kind", "usable against its status or date", "not usable but in a series", "missing step between values"} <= whats
     assert graph.digest(n, every).count() == 2
     concepts, links = graph.concept_map(n, every)
     assert concepts.where("concept = 'analyte:hemoglobin'").first()["patients"] == 2
