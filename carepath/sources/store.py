@@ -21,24 +21,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def replace_patients(new: DataFrame, path: str, key: str = "patient") -> None:
     """Puts `new` in place of all earlier rows of its patients; other patients' rows stay.
 
-    Only the partitions that hold these patients are written again, from a staged copy, so a run
-    that fails leaves the table as it was.
+    Only the partitions that hold these patients are written again, from a staged copy. A run that
+    fails before the copy is whole leaves the table as it was and no copy. Partitions are then replaced
+    one by one; a run that fails there leaves the copy beside the table, and saving once more mends it.
     """
     spark = new.sparkSession
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
     new = new.withColumn("part", _part(F.col(key)))
-    new.write.partitionBy("part").parquet(f"{staged}/new")
-    new = spark.read.schema(new.schema).parquet(f"{staged}/new")
-    if _exists(spark, path):
-        old = spark.read.parquet(path).join(F.broadcast(new.select("part").distinct()), "part", "left_semi")  # at most PARTS rows
-        old.join(new.select(key).distinct(), key, "left_anti").unionByName(new).write.partitionBy("part").parquet(f"{staged}/all")
-        new = spark.read.schema(new.schema).parquet(f"{staged}/all")
+    try:
+        new.write.partitionBy("part").parquet(f"{staged}/new")
+        new = spark.read.schema(new.schema).parquet(f"{staged}/new")
+        if _exists(spark, path):
+            old = spark.read.parquet(path).join(F.broadcast(new.select("part").distinct()), "part", "left_semi")  # at most PARTS rows
+            old.join(new.select(key).distinct(), key, "left_anti").unionByName(new).write.partitionBy("part").parquet(f"{staged}/all")
+            new = spark.read.schema(new.schema).parquet(f"{staged}/all")
+    except Exception:
+        _delete(spark, staged)
+        raise
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(spark, staged)
 
 
 def load_patient(spark: SparkSession, path: str, patient: str, key: str = "patient") -> DataFrame:

@@ -139,3 +139,13 @@ def test_store_takes_no_rows(spark, tmp_path):
     store.replace_patients(rows, path)
     store.replace_patients(rows.limit(0), path)
     assert spark.read.parquet(path).count() == 1
+
+
+def test_a_failed_save_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "nodes")
+    rows = spark.createDataFrame([("a", "1")], "patient string, node string")
+    store.replace_patients(rows, path)
+    with pytest.raises(Exception, match="broken"):
+        store.replace_patients(rows.withColumn("node", F.when(F.col("node") == "1", F.raise_error(F.lit("broken"))).cast("string")), path)
+    assert [r["node"] for r in spark.read.parquet(path).collect()] == ["1"]
+    assert [p.name for p in tmp_path.iterdir()] == ["nodes"]
