@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import digest_index, html_text, language, license_scan, line_dedup, mixing, near_dup, packing, prefix_counts, quality
+from carepath.llm import digest_index, html_text, language, license_scan, line_dedup, mixing, near_dup, packing, prefix_counts, quality, whitening
 from carepath.llm.common import documents, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_language_id,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Query]:
         op8_html_text,
         op9_exact_dedup,
         op10_packing,
+        op11_whitening,
     )
     return {f.__name__: f for f in every}
 
