@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import digest_index, html_text, language, license_scan, line_dedup, mixing, near_dup, packing, prefix_counts, quality, whitening
+from carepath.llm import digest_index, html_text, language, license_scan, line_dedup, manifest, mixing, near_dup, packing, prefix_counts, quality, whitening
 from carepath.llm.common import documents, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_language_id,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         op9_exact_dedup,
         op10_packing,
         op11_whitening,
+        op12_manifest,
     )
     return {f.__name__: f for f in every}
 
@@ -84,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": line_dedup.SQL,
         "op7_source_mix": mixing.SQL,
         "op9_exact_dedup": digest_index.SQL,
+        "op12_manifest": manifest.SQL,
     }
