@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import digest_index, html_text, language, license_scan, line_dedup, manifest, mixing, near_dup, packing, prefix_counts, quality, whitening
+from carepath.llm import digest_index, html_text, language, license_scan, line_dedup, manifest, mixing, near_dup, packing, preference, prefix_counts, quality, whitening
 from carepath.llm.common import documents, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(documents(spark, sf_dir))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.quality_ranks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_language_id,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Query]:
         op10_packing,
         op11_whitening,
         op12_manifest,
+        op13_quality_classifier,
     )
     return {f.__name__: f for f in every}
 
