@@ -144,7 +144,7 @@ def verified(docs: DataFrame, fields: Sequence[str] = FIELDS, *, id_col: str = "
     any length are digested where they are read and never shuffled; their bytes are taken as they
     are, UTF-8 or not. An empty table gives no row, and columns not among `fields` are not looked at.
     """
-    found = leaves(docs, fields, id_col=id_col, source_col=source_col, text_col=text_col)
+    found = stored(leaves(docs, fields, id_col=id_col, source_col=source_col, text_col=text_col), "merkle-leaves")  # ranges are sampled first, texts digested once
     carried = ["doc_id", "changed"]
     ranks = stored(ranked(found, ["doc_id", "digest"], "merkle"), "merkle-0")
     nodes = levels(ranks, "merkle", *carried)
