@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carepath.functions import clinical as cl
-from carepath.functions import labs
+from carepath.functions import labs, stems
 from carepath.functions import text as tx
-from carepath.operators import core, retrieval
+from carepath.operators import core, postings, retrieval
 from carepath.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,19 +267,36 @@ def tokens_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents),
+_INDEX_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\pL\pN\p{{Co}}]+') AS w, text FROM documents WHERE doc_id IS NOT NULL),
+asked_tokens AS (SELECT DISTINCT doc_id AS query_id, unnest(regexp_extract_all(regexp_replace(translate(lower(text), '‘’“”–—−', '''''""---'), '([\pL\pN])[-+]', '\1 ', 'g'), '[-+]?[0-9]+(?:[.,][0-9]+)*|[\pL\pN]+')) AS token FROM t WHERE doc_id % 100 = 0),
+asked_parts AS (SELECT query_id, token, w, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM (SELECT *, regexp_extract_all(strip_accents(token), '[\pL\pN]+') AS w FROM asked_tokens WHERE regexp_full_match(regexp_replace(token, '[.-]', '', 'g'), '[\pL\pN]+'))),
+every_word AS (SELECT DISTINCT unnest(w) AS word FROM t UNION SELECT word FROM asked_parts),
+{stems.stem_sql("every_word")},
+places AS (SELECT doc_id, dl, k, term FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM t) JOIN stems USING (word)),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
-p AS (SELECT doc_id, any_value(len(w)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM t) GROUP BY doc_id, term),
-d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-q AS (SELECT doc_id AS query_id, term FROM p WHERE doc_id % 100 = 0),
-r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p ON q.term = p.term JOIN d ON p.term = d.term, s GROUP BY 1, 2)
-SELECT query_id, doc_id, round(score, 4) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""")
+phrases AS (SELECT query_id, token, string_agg(term, ' ' ORDER BY k) AS phrase, count(*) AS m FROM asked_parts JOIN stems USING (word) GROUP BY 1, 2),
+phrase_terms AS (SELECT phrase, m, unnest(string_split(phrase, ' ')) AS term, generate_subscripts(string_split(phrase, ' '), 1) AS j FROM (SELECT DISTINCT phrase, m FROM phrases)),
+p AS (SELECT phrase, doc_id, dl, count(*) AS tf FROM (SELECT phrase, m, doc_id, dl, k - j AS start FROM phrase_terms JOIN places USING (term) GROUP BY phrase, m, doc_id, dl, start HAVING count(*) = m) GROUP BY 1, 2, 3),
+d AS (SELECT phrase, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), {postings.LEAST_IDF}) AS idf FROM p, s GROUP BY phrase, n),
+r AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM phrases JOIN p USING (phrase) JOIN d USING (phrase), s GROUP BY 1, 2)
+"""
+
+
+@query(_INDEX_SQL + "SELECT query_id, doc_id, floor(score * 10000 + 0.5) / 10000 AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for the words of every document whose id is divisible by 100."""
+    """The ten best documents, by stems, for the words of every document whose id is divisible by 100."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    found = retrieval.bm25_each(docs, "doc_id", "text", docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), "query_id", "text", limit=10)
-    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    found = postings.search(postings.build(docs, "doc_id", "text"), docs.where("doc_id % 100 = 0"), "doc_id", "text", "id", limit=10)
+    return found.select(F.col("doc_id").alias("query_id"), F.col("id").alias("doc_id"), (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
+
+
+@query(_INDEX_SQL + """SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS places, CAST(max(tf) AS INTEGER) AS most FROM (SELECT term, doc_id, count(*) OVER (PARTITION BY term, doc_id) AS tf FROM places) GROUP BY term""")
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of the inverted index with their documents and places."""
+    held = postings.build(_t(spark, sf_dir, "documents"), "doc_id", "text").postings
+    n = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    return held.groupBy("term").agg(F.sum(F.size("ids")).alias("documents"), F.sum(n).alias("places"), F.max("most").alias("most"))
 
 
 @query("""
