@@ -90,6 +90,45 @@ def within(df: DataFrame, other: DataFrame, keys: Sequence[str], condition: Colu
     return df.alias("l").join(other.alias("r"), on, "left_semi" if there else "left_anti")
 
 
+def near(df: DataFrame, other: DataFrame, keys: Sequence[str], at: Column, other_at: Column, low: int, high: int, *, there: bool) -> DataFrame:
+    """Rows of `df` for which `other` has, or has not, a row of the same keys at a whole number from at + low to at + high.
+
+    Numbers fall in bins as wide as the interval, which so meets two of them at most: of the first the
+    greatest number decides, of the next the least. These are kept for each bin, so the work grows with
+    the rows and not with the pairs, and a key with any share of them falls in as many bins as it spans.
+    Null keys and places meet nothing.
+    """
+    width = high - low + 1
+    bin_of = lambda x: F.floor(x / F.lit(width)).cast("long")
+    rows = other.select(*keys, other_at.cast("long").alias("__v"))
+    none = F.lit(None).cast("long")
+    own = rows.select(*keys, bin_of(F.col("__v")).alias("__bin"), F.col("__v").alias("__own"), none.alias("__next"))
+    following = rows.select(*keys, (bin_of(F.col("__v")) - 1).alias("__bin"), none.alias("__own"), F.col("__v").alias("__next"))
+    ends = own.unionByName(following).groupBy(*keys, "__bin").agg(F.max("__own").alias("__own"), F.min("__next").alias("__next"))
+    asked = df.withColumn("__from", at.cast("long") + low).withColumn("__bin", bin_of(F.col("__from")))
+    met = (F.col("__own") >= F.col("__from")) | (F.col("__next") <= F.col("__from") + (width - 1))
+    found = asked.join(ends, [*keys, "__bin"], "left").withColumn("__met", F.coalesce(met, F.lit(False)))
+    return found.where(F.col("__met") if there else ~F.col("__met")).select(*[found[c] for c in df.columns])
+
+
+def band_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, width: str) -> DataFrame:
+    """All columns of the pairs of the same keys whose values differ by at most the left row's `width`.
+
+    Values fall in bins of the power of two at or above the width; a left row looks into its bin and the
+    two beside it, a right row lies in one bin for each width in use, so a pair meets once. Other column
+    names must differ. A null, a negative width and a null key meet nothing.
+    """
+    size = F.abs(F.col(left_value).cast("double"))
+    level = F.greatest(F.when(F.col(width) > 0, F.ceil(F.log2(width))), F.when(size > 0, F.floor(F.log2(size)) - 50), F.lit(-1000)).cast("int")  # bins that doubles tell apart
+    asked = left.where(F.col(width) >= 0).withColumn("__e", level)
+    levels = sorted(r["__e"] for r in asked.select("__e").distinct().collect())  # at most the exponents of doubles
+    bin_of = lambda v: F.floor(F.col(v).cast("double") / F.pow(F.lit(2.0), F.col("__e").cast("double"))).cast("double")  # noqa: E731  exact in doubles
+    asked = asked.withColumn("__bin", F.explode(F.array(*[bin_of(left_value) + F.lit(float(k)) for k in (-1, 0, 1)])))
+    held = right.withColumn("__e", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("__bin", bin_of(right_value))
+    near_ = F.abs(F.col(left_value).cast("double") - F.col(right_value).cast("double")) <= F.col(width)
+    return asked.join(held, [*keys, "__e", "__bin"]).where(near_).drop("__e", "__bin")
+
+
 def kth_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], left_value: str, right_value: str) -> DataFrame:
     """k-th left row with the k-th right row of each key; what has no partner keeps a null."""
     number = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -51,6 +51,41 @@ def exact_interval(successes: int, n: int, level: float = 0.95) -> tuple[float,
     return low, high
 
 
+#: Chances that a Poisson number of mean 1 is at most 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402)
+
+
+def resample_weight(cluster: Column, replicate: Column, seed: str) -> Column:
+    """How often a replicate takes a cluster: a Poisson number of mean 1 (at most 9) from a hash of the three."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), cluster.cast("string"), replicate.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+
+
+def bootstrap(rows: DataFrame, by: Sequence[str], cluster: str, num: Column, den: Column, *, replicates: int = 1000, seed: str = "bootstrap", level: float = 0.95) -> DataFrame:
+    """by, n, estimate, low, high and exact: the interval of sum(num) / sum(den), whole clusters resampled.
+
+    Rows are summed for each cluster once. Every replicate takes each cluster a hashed Poisson number of
+    times, so the sums of replicates are plain sums, combined before the shuffle and the same in any
+    order. The interval lies between the replicates' values at the floor of the outer places. At 0 and
+    at 1 all replicates agree, and the exact bound of a share takes the place of the interval. A group
+    without a denominator has null values; a null cluster is a cluster.
+    """
+    sums = rows.groupBy(*by, F.col(cluster).alias("__c")).agg(F.coalesce(F.sum(num), F.lit(0)).alias("__k"), F.coalesce(F.sum(den), F.lit(0)).alias("__n"))
+    totals = sums.groupBy(*by).agg(F.sum("__k").alias("k"), F.sum("__n").alias("n"))
+    each = sums.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", resample_weight(F.coalesce(F.col("__c").cast("string"), F.lit("")), F.col("__r"), seed)).where("__w > 0")
+    taken = each.groupBy(*by, "__r").agg(F.sum(F.col("__w") * F.col("__k")).alias("__k"), F.sum(F.col("__w") * F.col("__n")).alias("__n")).where("__n > 0")
+    values = taken.groupBy(*by).agg(F.sort_array(F.collect_list(F.col("__k").cast("double") / F.col("__n"))).alias("__v"))  # `replicates` at most
+    half = (1 - level) / 2
+    place = lambda q: F.element_at("__v", (F.floor(F.lit(q) * (F.size("__v") - 1)) + 1).cast("int"))
+    tail = F.pow(F.lit(half), 1 / F.col("n"))
+    out = totals.join(values, list(by), "left") if by else totals.crossJoin(F.broadcast(values))  # one row each
+    edge = (F.col("k") == 0) | (F.col("k") == F.col("n"))
+    some = lambda c: F.when(F.col("n") > 0, c)
+    low = F.when(F.col("k") == 0, 0.0).when(F.col("k") == F.col("n"), tail).otherwise(place(half))
+    high = F.when(F.col("k") == 0, 1 - tail).when(F.col("k") == F.col("n"), 1.0).otherwise(place(1 - half))
+    return out.select(*by, "n", ratio(F.col("k"), F.col("n")).alias("estimate"), some(low).alias("low"), some(high).alias("high"), some(edge).alias("exact"))
+
+
 # Tiers of label types, best first.
 TIERS = {"C73594": 0, "C73585": 0, "C73584": 1, "C73605": 1}
 

@@ -114,9 +114,9 @@ def same_measurement(n: DataFrame) -> DataFrame:
     res = n.where("kind = 'lab_result' and usable").select("patient", "analyte", F.col("start.date").alias("day"), F.col("node").alias("result"), F.col("comparator").alias("rc"), F.col("method").alias("rm"), "value")
     # compared in the printed unit: the half unit of the last digit is scaled by the printed unit's factor
     factor = F.try_element_at(F.create_map(*[F.lit(x) for a in labs.ANALYTES for unit, num, den in a[3] for x in (f"{a[0]}|{unit}", num / den)]), F.concat_ws("|", "analyte", "u"))
-    near = F.abs(F.col("value").cast("double") - F.col("printed").cast("double")) <= labs.half_unit(F.col("text")) * factor * (1 + 1e-12)
-    same = F.col("c").eqNullSafe(F.col("rc")) & ((F.col("analyte") != "egfr") | method_fits(F.col("m"), F.col("rm"))) & near
-    return row.join(res, ["patient", "analyte", "day"]).where(same).select("patient", "row", "result")
+    row = row.withColumn("width", labs.half_unit(F.col("text")) * factor * (1 + 1e-12))
+    same = F.col("c").eqNullSafe(F.col("rc")) & ((F.col("analyte") != "egfr") | method_fits(F.col("m"), F.col("rm")))
+    return core.band_pairs(row, res, ["patient", "analyte", "day"], "printed", "value", "width").where(same).select("patient", "row", "result")
 
 
 def series(n: DataFrame, same: DataFrame) -> DataFrame:

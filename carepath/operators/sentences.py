@@ -14,6 +14,7 @@ import datetime as dt
 import re
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -160,16 +161,23 @@ def words_of(text: str) -> list[str]:
     return [w.replace("\u2019", "'") for w in _WORD.findall(text.lower())]
 
 
-def _phrase(words: list[str], at: int, phrases: Iterable[str]) -> list[int]:
-    """The ends of all phrases that begin at a place; a star stands for any ending."""
-    out = []
+@cache
+def _parts(phrases: tuple[str, ...]) -> dict[str, list[list[str]]]:
+    """The words of phrases, by their first letter."""
+    out: dict[str, list[list[str]]] = {}
     for p in phrases:
-        parts = p.split(" ")
-        if at + len(parts) <= len(words) and all(w.startswith(x[:-1]) if x.endswith("*") else w == x for w, x in zip(words[at:], parts)):
-            out.append(at + len(parts))
+        out.setdefault(p[0], []).append(p.split(" "))
     return out
 
 
+def _phrase(words: list[str], at: int, phrases: tuple[str, ...]) -> list[int]:
+    """The ends of all phrases that begin at a place; a star stands for any ending."""
+    if at >= len(words):
+        return []
+    some = _parts(phrases).get(words[at][0], ())
+    return [at + len(p) for p in some if at + len(p) <= len(words) and all(w.startswith(x[:-1]) if x.endswith("*") else w == x for w, x in zip(words[at:], p))]
+
+
 def _walk(words: list[str], at: int, rule: tuple) -> int | None:
     """The end of a rule that holds from a place. Slots: phrases; ("maybe", phrases); ("free", most words)."""
     if not rule:
@@ -189,9 +197,17 @@ def _walk(words: list[str], at: int, rule: tuple) -> int | None:
     return next((end for e in ends if (end := _walk(words, e, rest)) is not None), None)
 
 
+@cache
+def _first(rule: tuple) -> frozenset[str]:
+    """The words that a rule may begin with."""
+    slot = rule[0]
+    some = frozenset(p.split(" ")[0] for p in (slot[1] if slot[0] == "maybe" else slot))
+    return some | _first(rule[1:]) if slot[0] == "maybe" else some
+
+
 def _found(words: list[str], rules: Iterable[tuple], places: Iterable[int] | None = None) -> Iterator[int]:
     for at in range(len(words)) if places is None else places:
-        if any(_walk(words, at, r) is not None for r in rules):
+        if at < len(words) and any(words[at] in _first(r) and _walk(words, at, r) is not None for r in rules):
             yield at
 
 
@@ -250,11 +266,11 @@ def categories(text: str) -> list[str]:
         ends = [e for starts, names in zip(free, (("anaemia", "anemia", "anaemic", "anemic"), ("anemia",)), strict=True) for s in _phrase(words, k, starts) for e in _phrase(words, s, names)]
         if any(not _phrase(words, e, NOT_GRADED) for e in ends):
             out.add("severity none")
-        out |= {f"risk {RISKS[r]}" for r in RISKS if any(words[e : e + 1] == ["risk"] for e in _phrase(words, k, [r]))}
+        out |= {f"risk {RISKS[r]}" for r in RISKS if any(words[e : e + 1] == ["risk"] for e in _phrase(words, k, (r,)))}
         if w == "risk":
-            out |= {f"risk {RISKS[r]}" for r in RISKS for e in _phrase(words, k + 1, ("is", "was", "would be")) if _phrase(words, e, [r])}
+            out |= {f"risk {RISKS[r]}" for r in RISKS for e in _phrase(words, k + 1, ("is", "was", "would be")) if _phrase(words, e, (r,))}
         if w == "rischio":
-            out |= {f"risk {RISKS_IT[r]}" for r in RISKS_IT for e in (k + 1, *_phrase(words, k + 1, ("è",))) if _phrase(words, e, [r])}
+            out |= {f"risk {RISKS_IT[r]}" for r in RISKS_IT for e in (k + 1, *_phrase(words, k + 1, ("è",))) if _phrase(words, e, (r,))}
     return sorted(out)
 
 

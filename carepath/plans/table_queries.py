@@ -97,7 +97,7 @@ SELECT * FROM o l WHERE NOT EXISTS (SELECT 1 FROM o r WHERE r.o_custkey = l.o_cu
 def interval_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders before which the customer had none for 90 days."""
     o = _order_days(spark, sf_dir)
-    return core.within(o, o, ["o_custkey"], F.expr("r.day < l.day and r.day >= date_sub(l.day, 90)"), there=False)
+    return core.near(o, o, ["o_custkey"], F.unix_date("day"), F.unix_date("day"), -90, -1, there=False)
 
 
 @query("""
@@ -106,7 +106,7 @@ SELECT * FROM o l WHERE EXISTS (SELECT 1 FROM o r WHERE r.o_custkey = l.o_custke
 def interval_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders after which the customer ordered again within 30 days."""
     o = _order_days(spark, sf_dir)
-    return core.within(o, o, ["o_custkey"], F.expr("r.day > l.day and r.day <= date_add(l.day, 30)"), there=True)
+    return core.near(o, o, ["o_custkey"], F.unix_date("day"), F.unix_date("day"), 1, 30, there=True)
 
 
 @query("""
@@ -119,7 +119,8 @@ def half_unit_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = a.select(F.col("l_orderkey").alias("row_order"), F.col("l_linenumber").alias("row_line"), "l_suppkey", "day", (F.round(F.col("l_extendedprice") / 100) * 100).alias("printed"))
     v = a.select(F.col("l_orderkey").alias("result_order"), F.col("l_linenumber").alias("result_line"), "l_suppkey", "day", "l_extendedprice")
     other = (F.col("row_order") != F.col("result_order")) | (F.col("row_line") != F.col("result_line"))
-    return r.join(v, ["l_suppkey", "day"]).where(other & (F.abs(F.col("l_extendedprice") - F.col("printed")) <= 50 * (1 + 1e-12))).select("row_order", "row_line", "result_order", "result_line")
+    near = core.band_pairs(r.withColumn("width", F.lit(50 * (1 + 1e-12))), v, ["l_suppkey", "day"], "printed", "l_extendedprice", "width")
+    return near.where(other).select("row_order", "row_line", "result_order", "result_line")
 
 
 @query("""
