@@ -2,7 +2,7 @@
 
 Each source has a target number of words. Whole epochs of a source come first; what then is
 left is filled by rows in the order of their exponential keys -ln(u)/w, where u is a hash of
-the row's id and w its quality, until the running sum of sizes meets the budget. The sum is
+the row's id, text and number among rows alike in both, and w its quality, until the running sum of sizes meets the budget. The sum is
 taken in two steps: over ranges of the keys (small sums, a window for each source), then over
 the rows of the one range of each source in which the budget ends. A source of n rows has about
 sqrt(n) ranges of as many rows, so no source, however large, is ever sorted in one task. The
@@ -78,12 +78,39 @@ def target_table(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
         share = now
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
-    """row (all columns of `docs`), source, id, size and key."""
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
-    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+def _marked(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
+    """row (all columns of `docs`), source, id, body (a digest of the text), mark (of all three), size and weight."""
     weight = quality(F.col(text_col)) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(1.0)), F.lit(1e-9))
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("string").alias("id"), words(F.col(text_col)).alias("size"), (-F.log(u) / weight).alias("key"))
+    source, id_ = F.col(source_col).cast("string"), F.col(id_col).cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), source.alias("source"), id_.alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), words(F.col(text_col)).alias("size"), weight.alias("weight"))
+    return rows.withColumn("mark", F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")), F.coalesce("id", F.lit("")), "body")))
+
+
+def _repeats(marked: DataFrame) -> DataFrame | None:
+    """The marks that several rows share, as a stored table; None where all differ."""
+    again = stored(marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", F.lit(True).alias("again")), "mix-repeats")
+    return again if again.head(1) else None
+
+
+def _keyed(marked: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """The rows with their key, which tells rows that share id and text apart by a number from 0.
+
+    The rows of a mark are numbered within the parts in which they are stored, and the numbers of
+    the parts before are added, so a mark with any share of all rows is numbered in as many tasks.
+    """
+    rows = marked.withColumn("copy", F.lit(0).cast("long"))
+    if repeats is not None:
+        few = F.broadcast(repeats) if repeats.count() <= DRIVER_SOURCES else repeats
+        found = rows.join(few, "mark", "left")
+        some = stored(found.where("again").drop("again", "copy").withColumn("__at", F.monotonically_increasing_id()), "mix-copies").withColumn("__part", F.shiftright("__at", 33))
+        parts = some.groupBy("mark", "__part").agg(F.count(F.lit(1)).alias("__n"))
+        before = parts.withColumn("__before", F.sum("__n").over(Window.partitionBy("mark").orderBy("__part")) - F.col("__n")).drop("__n")
+        place = F.row_number().over(Window.partitionBy("mark", "__part").orderBy("__at")) - 1
+        numbered = some.withColumn("__place", place).join(before, ["mark", "__part"]).withColumn("copy", F.col("__before") + F.col("__place"))
+        rows = found.where("again is null").drop("again").unionByName(numbered.select(*rows.columns))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.coalesce("id", F.lit("")), "body", F.col("copy").cast("string"))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+    return rows.withColumn("key", -F.log(u) / F.col("weight")).drop("weight", "copy", "mark", "body")
 
 
 def _range(n: Column) -> Column:
@@ -140,13 +167,18 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 
     `weight` is a document's quality, a positive column of `docs` such as a score (null: 1); without
     one, `quality` of the text is taken. A null text has size 0, a null source is a source that
-    comes last. Equal keys are ordered by id; rows that repeat an id within a source share a key
-    and are cut by it together. Whole texts are counted in the JVM, however long. An empty table
-    gives no row, and other columns may have any names. The mix of a source ends at the row
-    boundary nearest to its target.
+    comes last. Keys are of id, text and, among rows that share both, a number, so null and repeated
+    ids are taken row by row; which of such rows is taken is open where they differ in other columns.
+    Equal keys are ordered by id. Whole texts are counted in the JVM, however long, invalid UTF-8 as
+    it is. An empty table gives no row, and other columns may have any names. The mix of a source
+    ends at the row boundary nearest to its target.
     """
-    rows = _keyed(docs, id_col, text_col, source_col, weight)
-    rows = stored(rows.select(F.col("row").getField(id_col).alias("doc_id"), "source", "id", "size", "key"), "mix-sizes")
+    marked = _marked(docs, id_col, text_col, source_col, weight)
+    marked = stored(marked.select(F.col("row").getField(id_col).alias("doc_id"), *[c for c in marked.columns if c != "row"]), "mix-marks")
+    repeats = _repeats(marked)
+    rows = _keyed(marked, repeats)
+    if repeats is not None:
+        rows = stored(rows, "mix-sizes")
     found = _per_source(rows, *cuts(rows, weights, most))
     times = _times()
     return found.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
@@ -154,10 +186,12 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, weight: Column | None = None) -> DataFrame:
     """The rows of `docs` as the mix takes them: a row taken twice comes twice; same columns. See `mixed`."""
-    keyed = _keyed(docs, id_col, text_col, source_col, weight)
-    sizes = stored(keyed.select("source", "id", "size", "key"), "mix-sizes")
-    found = _per_source(keyed, *cuts(sizes, weights, most))
-    discard(sizes)
+    whole = _marked(docs, id_col, text_col, source_col, weight)
+    marked = stored(whole.drop("row"), "mix-marks")
+    repeats = _repeats(marked)
+    sizes = stored(_keyed(marked, repeats), "mix-sizes")
+    found = _per_source(_keyed(whole, repeats), *cuts(sizes, weights, most))
+    discard(marked, sizes)
     return found.select("row", F.explode(F.array_repeat(F.lit(1), _times()))).select("row.*")
 
 
@@ -165,7 +199,7 @@ def _sql() -> str:
     weight = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(WEIGHTS))
     return rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-  (('0x' || substr(md5('{SEED}|' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / {2**52}::DOUBLE AS u,
+  (('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|' || (row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '')) - 1)), 1, 13))::BIGINT::DOUBLE + 0.5) / {2**52}::DOUBLE AS u,
   coalesce(1.0::DOUBLE - 0.5::DOUBLE * least(1.0::DOUBLE, 8.0::DOUBLE * (length(text) - length(translate(text, '#*$%&|<>', '')))::DOUBLE / greatest(length(text), 1)::DOUBLE), 1.0::DOUBLE) AS q FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
 w AS (SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} {weight} END::DOUBLE AS w FROM t),

@@ -401,6 +401,28 @@ def test_mix(docs, rows, empty):
     assert out.count() == sum(x["times"] for x in got)
 
 
+@pytest.mark.parametrize("ids", ["half null", "all null", "one id", "one row"])
+def test_mix_takes_rows_with_null_and_repeated_ids_one_by_one(spark, ids):
+    r = random.Random(9)
+    data = []
+    for k in range(900):
+        s, i = "ab"[k % 2], {"half null": None if k % 2 else k, "all null": None, "one id": 7, "one row": 7}[ids]
+        data.append((i, "the same words " * 2 if ids == "one row" else prose(r, r.randint(1, 12)), s))
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got, sizes = mixing.mixed(docs).collect(), Counter()
+    for _, t, s in data:
+        sizes[s] += len(t.split())
+    goal = mixing.targets(sizes)
+    by = {g: s for s, g in goal.items()}
+    taken = Counter()
+    for x in got:
+        taken[min(by.items(), key=lambda g: abs(g[0] - x["target"]))[1]] += x["taken"]
+        assert x["taken"] <= 3 * x["size"]
+    assert len(got) == 900 and all(abs(taken[s] - goal[s]) <= 12 for s in goal)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(docs.repartition(5)).collect()))
+    assert mixing.mix_rows(docs).count() == sum(x["times"] for x in got)
+
+
 def test_mix_of_many_sources_stays_a_table(docs, monkeypatch):
     want = sorted(map(str, mixing.mixed(docs).collect()))
     monkeypatch.setattr(mixing, "DRIVER_SOURCES", 0)

@@ -67,8 +67,10 @@ def mixed(rows):
     for (i, t, h, n), times in rows.items():
         marks = sum(c in "#*$%&|<>" for c in t or "")
         q = 1 - 0.5 * min(1.0, 8 * marks / max(1, len(t or "")))
-        u = (int(hashlib.md5(f"{mixing.SEED}|{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        by[h] += [(-math.log(u) / q, str(i), len((t or "").split()), (i, t, h, n))] * times
+        body = hashlib.md5((t or "").encode()).hexdigest()
+        for copy in range(times):
+            u = (int(hashlib.md5(f"{mixing.SEED}|{'' if i is None else i}|{body}|{copy}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            by[h].append((-math.log(u) / q, str(i), len((t or "").split()), (i, t, h, n)))
     goal = mixing.targets({h: sum(x[2] for x in xs) for h, xs in by.items()})
     for h, xs in by.items():
         size, before = sum(x[2] for x in xs), 0
