@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from weakref import WeakKeyDictionary
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carepath.sources.scratch import discard, shared_dir, stored
+
+__all__ = ["BATCH_ROWS", "BLANKS", "discard", "documents", "lower_ascii", "prepare", "shared_dir", "stored", "valid"]
+
 #: Rows in an Arrow batch handed to Python; whole texts can be long, so the default of 10,000 is too many.
 BATCH_ROWS = 256
-#: Where stored tables lie.
-_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -23,44 +21,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where it is unset, a local session gets a folder of its own and a cluster is refused,
-    since no machine-local folder can be read by every executor.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("carepath.shared.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="carepath-")
-        spark.conf.set("carepath.shared.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as a Parquet table in the shared folder and reads it again.
-
-    This cuts the lineage with replicated files, so a lost executor costs no recomputation
-    of what stands above.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more, since what follows them is stored itself."""
-    for df in tables:
-        if (path := _PATHS.pop(df, None)) is not None:
-            context = df.sparkSession.sparkContext
-            found = context._jvm.org.apache.hadoop.fs.Path(path)
-            found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
