@@ -53,31 +53,32 @@ def _lines(node: ElementTree.Element | None) -> str:
     return "\n".join(x for x in lines if x.strip("•| "))
 
 
-def section_rows(xml: bytes) -> Iterator[tuple[str | None, list[str], str]]:
-    """(code, titles from the top down, own text) of every section that has text."""
+def _children(node: ElementTree.Element, *steps: str) -> list[ElementTree.Element]:
+    """The elements that a path of names leads to, in order."""
+    found = [node]
+    for step in steps:
+        found = [c for n in found for c in n if _name(c.tag) == step]
+    return found
+
 
-    def visit(section: ElementTree.Element, above: list[str]) -> Iterator[tuple[str | None, list[str], str]]:
-        parts = {_name(c.tag): c for c in section if _name(c.tag) in ("code", "title", "text")}
-        code = parts["code"].get("code") if "code" in parts else None
+def section_rows(xml: bytes) -> Iterator[tuple[str | None, list[str], str]]:
+    """(code, titles from the top down, own text) of every section that has text, in the order of the document.
+
+    Sections wait on a stack with the titles above them, so they may nest to any depth.
+    """
+    root = ElementTree.fromstring(xml)
+    inner = {s for p in root.iter() if _name(p.tag) == "section" for s in p.iter() if s is not p and _name(s.tag) == "section"}
+    waiting = [(s, ()) for s in root.iter() if _name(s.tag) == "section" and s not in inner][::-1]
+    while waiting:
+        section, above = waiting.pop()
+        codes, titles, texts = (_children(section, name) for name in ("code", "title", "text"))
+        code = codes[0].get("code") if codes else None
         if code in NO_SECTIONS:
-            return
-        path = [*above, " ".join("".join(parts["title"].itertext()).split()) if "title" in parts else ""]
-        if text := _lines(parts.get("text")):
-            yield code, path, text
-        for inner in section:
-            if _name(inner.tag) == "component":
-                for s in inner:
-                    if _name(s.tag) == "section":
-                        yield from visit(s, path)
-
-    def top(node: ElementTree.Element) -> Iterator[tuple[str | None, list[str], str]]:
-        for child in node:
-            if _name(child.tag) == "section":
-                yield from visit(child, [])
-            else:
-                yield from top(child)
-
-    yield from top(ElementTree.fromstring(xml))
+            continue
+        path = (*above, " ".join("".join(titles[0].itertext()).split()) if titles else "")
+        if text := _lines(texts[0] if texts else None):
+            yield code, list(path), text
+        waiting += [(s, path) for s in reversed(_children(section, "component", "section"))]
 
 
 def sections(files: DataFrame) -> DataFrame:
