@@ -110,22 +110,6 @@ def quote_problem(quote: Column, note: Column, terms: str) -> Column:
     return F.when(F.size(F.split(F.trim(quote), r"\s+")) > 40, "too long").when(~F.contains(squash(note), squash(quote)), "not verbatim").when(~F.lower(quote).rlike(terms), "off topic")
 
 
-def sentence_problems(text: Column, cited: Column, known: Column, language_ok: Column) -> Column:
-    """Problems of one sentence against the items it cites: arrays of the cited texts and whether each id is known.
-
-    Every number and date of a sentence must occur in a cited item.
-    """
-    numbers = F.regexp_extract_all(text, F.lit(r"\d+(?:[.,/\-]\d+)*"), F.lit(0))
-    held = F.array_join(cited, " ")
-    absent = F.filter(numbers, lambda x: ~F.contains(F.concat(F.lit(" "), F.regexp_replace(held, r"[^\d.,/\-]+", " "), F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" "))))
-    return F.array_compact(F.array(
-        F.when(F.size(cited) == 0, "cites nothing"),
-        F.when(~F.forall(known, lambda k: k), "cites an unknown item"),
-        F.when(F.size(absent) > 0, "a number that no cited item holds"),
-        F.when(~language_ok, "another language"),
-    ))
-
-
 def rule_totals(assessed: DataFrame, keys: Sequence[str] = ("rule",)) -> DataFrame:
     """keys, met, not_met and not_assessable of a table of statuses."""
     return assessed.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("met", "not_met", "not_assessable")])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carepath.operators import sentences
+
 ITEM = ("patient", "rule", "id", "kind", "text", "ref")
 
 
@@ -41,22 +43,21 @@ def flag_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
-def reviewed(sentences: DataFrame, items: DataFrame, *, least: int = 2) -> DataFrame:
+def reviewed(written: DataFrame, items: DataFrame, *, least: int = 2) -> DataFrame:
     """For each flag: the sentences kept, those dropped, and whether the text is used or the template.
 
-    A sentence (patient, rule, n, text, cites) is kept when it cites known items only and every
-    number in it stands in one of them. The text is used with `least` kept, one of which cites the
+    A sentence (patient, rule, n, text, cites and, if there is one, language) is kept when it passes
+    every check of `sentences.checked`. The text is used with `least` kept, one of which cites the
     flag or its evidence.
     """
-    each = sentences.select("patient", "rule", "n", "text", F.explode_outer("cites").alias("id"))
-    known = items.select("patient", "rule", "id", F.col("text").alias("item"))
-    cited = each.join(known, ["patient", "rule", "id"], "left").groupBy("patient", "rule", "n", "text").agg(F.collect_list("item").alias("held"), F.count("id").alias("n_cites"), F.max(F.col("id").startswith("F") | F.col("id").startswith("E")).alias("own"))
-    numbers = F.regexp_extract_all("text", F.lit(r"\d+(?:[.,/\-]\d+)*"), F.lit(0))
-    hay = F.concat(F.lit(" "), F.regexp_replace(F.array_join("held", " "), r"[^\d.,/\-]+", " "), F.lit(" "))
-    told = F.forall(numbers, lambda k: F.contains("hay", F.concat(F.lit(" "), k, F.lit(" "))))
-    kept = cited.withColumn("hay", hay).withColumn("kept", (F.col("n_cites") > 0) & (F.size("held") == F.col("n_cites")) & told)
-    counts = kept.groupBy("patient", "rule").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_dropped"), F.max(F.col("kept") & F.col("own")).alias("own"))
-    return counts.withColumn("used", (F.col("n_kept") >= least) & F.coalesce("own", F.lit(False))).drop("own")
+    of = F.struct("patient", "rule").alias("pack")
+    language = F.col("language") if "language" in written.columns else F.lit("en")
+    asked = written.select(of, F.col("n").alias("sentence"), "text", "cites", language.alias("language"))
+    known = items.select(of, F.col("id").alias("item"), "kind", "text", F.lit(None).cast("date").alias("day"))
+    own = F.exists("cites", lambda c: c.startswith("F") | c.startswith("E"))
+    found = sentences.checked(asked, known).join(asked.select("pack", "sentence", own.alias("own")), ["pack", "sentence"]).withColumn("kept", F.size("problems") == 0)
+    counts = found.groupBy("pack").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_dropped"), F.max(F.col("kept") & F.col("own")).alias("own"))
+    return counts.select("pack.patient", "pack.rule", "n_kept", "n_dropped", ((F.col("n_kept") >= least) & F.coalesce("own", F.lit(False))).alias("used"))
 
 
 def knowledge_links(drugs: DataFrame, labels: DataFrame, conditions: DataFrame, statements: DataFrame) -> DataFrame:

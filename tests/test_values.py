@@ -1,5 +1,7 @@
 """Written values, texts, stores and reports."""
 
+import unicodedata
+
 from datetime import date
 from decimal import Decimal
 
@@ -149,3 +151,12 @@ def test_a_failed_save_leaves_the_table(spark, tmp_path):
         store.replace_patients(rows.withColumn("node", F.when(F.col("node") == "1", F.raise_error(F.lit("broken"))).cast("string")), path)
     assert [r["node"] for r in spark.read.parquet(path).collect()] == ["1"]
     assert [p.name for p in tmp_path.iterdir()] == ["nodes"]
+
+
+def test_tokens_read_compatible_forms(spark):
+    """Ligatures, wide letters, raised digits and fractions are what they stand for, as in NFKC."""
+    texts = ["ﬁve ＡＢＣ１２ 10³ ㎎ ½", "plain −1,5 ≥ 3.0", "Ångström état ŀ ǆ"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(text.tokens(F.col("t"))).collect()]
+    assert got[0] == ["five", "abc12", "103", "mg", "1", "2"] and got[1] == ["plain", "-1,5", ">=", "3.0"] and got[2][0] == "ångström"
+    for c, to in list(text._SEVERAL.items())[:50]:
+        assert unicodedata.normalize("NFKC", c) == to
