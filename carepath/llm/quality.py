@@ -55,19 +55,19 @@ def cells(ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (all_ % np.uint64(CELLS)).astype(np.int64), np.concatenate([owner, owner[:-1][same]])
 
 
-def target_ids(labels: DataFrame, *, id_col: str = "doc_id", quality_col: str = "quality", bound: int = TARGET_ROWS) -> np.ndarray:
-    """The ids of at most `bound` rows labelled as good."""
-    rows = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("i")).dropna().distinct()
-    return np.array(sorted(r["i"] for r in rows.orderBy(F.xxhash64("i"), "i").limit(bound).collect()), np.int64)
+def target_ids(labels: DataFrame, *, id_col: str = "doc_id", quality_col: str = "quality", bound: int = TARGET_ROWS) -> frozenset[str]:
+    """The ids, as text, of at most `bound` rows labelled as good."""
+    rows = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("string").alias("i")).dropna().distinct()
+    return frozenset(r["i"] for r in rows.orderBy(F.xxhash64("i"), "i").limit(bound).collect())
 
 
-def log_ratios(docs: DataFrame, trusted: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted: frozenset[str], *, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """ln(p_target / p_raw) of each cell, counted over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, raw, target = WordHashes(), np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
         for b in batches:
-            good = np.isin(b.column(0).fill_null(0).to_numpy(), trusted) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            good = np.array([i in trusted for i in b.column(0).to_pylist()], bool)
             ids, lengths = flat([(t or "").encode() for t in b.column(1).to_pylist()], hashes)
             if len(ids):
                 cell, owner = cells(ids, np.repeat(np.arange(len(lengths)), lengths))
@@ -76,7 +76,7 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray, *, id_col: str = "doc_id",
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["cell", "raw", "target"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), valid(F.col(text_col)).alias("t")).mapInArrow(count, "cell long, raw long, target long")
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), valid(F.col(text_col)).alias("t")).mapInArrow(count, "cell long, raw long, target long")
     counts = np.zeros((2, CELLS))
     for r in rows.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most CELLS rows
         counts[:, r["cell"]] = r["target"], r["raw"]
@@ -114,6 +114,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """doc_id, the base counts, base_failed, score and kept of every row, from whole texts.
 
     A null text has no words and fails the base rules; without any trusted label every score is 0.
+    doc_id is of any type that has a text form, and meets the labels' by that.
     Repeated rows are scored alike, a score of exactly the threshold is kept, and a null doc_id is
     never in the target. Whole texts of any length are read (what is no UTF-8 as U+FFFD), an empty
     table gives no row, and other columns are not looked at. The target is a bounded set of
