@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carepath.llm.common import BLANKS, stored
+from carepath.llm.common import BLANKS, discard, stored
 
-#: Distinct digests in a bucket, about; a bucket is what one call of the index works on.
+#: Distinct digests of the history, and of the new rows, in a bucket, about; a bucket is what one call of the index works on.
 BUCKET_KEYS = 1024
 #: Bits of a level for each digest left.
 SPARSE = 2.0
@@ -142,10 +142,12 @@ def exact_dedup(docs: DataFrame, seen: Column, *, id_col: str = "doc_id", text_c
     in the JVM, an empty table gives no row, and other columns are not looked at.
     """
     rows = stored(digests(docs, seen, id_col=id_col, text_col=text_col), "digests")
-    history = stored(grouped(rows.where("seen")), "history")
-    bits = max(0, (max(1, history.count()) // BUCKET_KEYS).bit_length())
+    history, new = (stored(grouped(rows.where(which)), name) for which, name in (("seen", "history"), ("not seen", "new-groups")))
+    # a bucket holds BUCKET_KEYS digests of either side at most, about
+    bits = (max(history.count(), new.count()) // BUCKET_KEYS).bit_length()
     index = stored(build_index(history, bits), "digest-index")
-    groups = look_up(index, grouped(rows.where("not seen")), bits)
+    discard(history)
+    groups = look_up(index, new, bits)
     # a large group of copies makes one skewed key here; the adaptive join splits its rows
     joined = rows.drop("seen").join(groups.hint("merge"), "digest", "left")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))

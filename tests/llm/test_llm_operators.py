@@ -330,6 +330,16 @@ def test_quality_score_by_hand(spark):
     assert len({s for *_, s in want}) > 20
 
 
+def test_quality_of_texts_with_names_for_ids(spark, docs, rows):
+    labels = spark.createDataFrame([(f"d{k}", k % 2) for k in range(60)], "doc_id string, quality int")
+    by_name = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    got = {(x["doc_id"], x["score"]) for x in quality.quality_rules(by_name, labels).collect()}
+    numbers = labels.select(F.substring("doc_id", 2, 9).cast("long").alias("doc_id"), "quality")
+    want = {(None if x["doc_id"] is None else f"d{x['doc_id']}", x["score"]) for x in quality.quality_rules(docs, numbers).collect()}
+    assert got == want
+    assert len({score for _, score in got}) > 5
+
+
 def test_quality(spark, docs, rows, empty):
     import re
 
@@ -508,6 +518,23 @@ def test_marginals_are_exact():
 # ---- 9
 
 
+def test_new_texts_are_dealt_to_buckets_without_a_history(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    seen, real = {}, digest_index.look_up
+
+    def noted(index: DataFrame, new: DataFrame, bits: int) -> DataFrame:
+        seen["bits"], seen["sizes"] = bits, [r["n"] for r in digest_index._bucketed(new, bits).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()]
+        return real(index, new, bits)
+
+    monkeypatch.setattr(digest_index, "look_up", noted)
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 90_000).cast("string")).alias("text"))
+    got = digest_index.exact_dedup(docs, F.lit(False)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("kept"), F.max("group_size").alias("most")).first()
+    assert (got["n"], got["kept"], got["most"]) == (100_000, 90_000, 2)
+    assert len(seen["sizes"]) == 1 << seen["bits"] >= 64
+    assert max(seen["sizes"]) <= 2 * digest_index.BUCKET_KEYS
+
+
 def test_exact_dedup(docs, rows, empty):
     bare = lambda t: (t or "").translate(dict.fromkeys([32, *range(9, 14)]))
     groups = defaultdict(list)
