@@ -361,28 +361,33 @@ def test_quality(spark, docs, rows, empty):
 # ---- 6
 
 
-def test_line_dedup(spark, empty, monkeypatch):
+@pytest.mark.parametrize("merged", [False, True])
+def test_line_dedup(spark, empty, monkeypatch, merged):
+    rule = {"merge_copies": True, "fewest_hits": 3} if merged else {}
+    fewest = rule.get("fewest_hits", line_dedup.FEWEST_HITS)
     data = [(i, f"Menu of the site\nstory {i} of many words to read\n\n Menu of the site ", "h") for i in range(30)] + [(100 + i, f"Menu of the site\nfew pages {i}", "small") for i in range(3)]
     data += [(200 + i, "the very same text", "copies") for i in range(30)] + [(300, None, "h"), (301, "", None), (302, "only two\nx", "two"), (303, "only two\ny", "two"), (4, data[4][1], "h")]
     data += [(400 + i, f"first\n{'long line ' * 20000}\n{i}", "long") for i in range(4)]
     df = spark.createDataFrame([(*d, 1, "u") for d in data], "doc_id long, text string, source string, __host int, row string")
     pages, hits = defaultdict(set), defaultdict(set)
-    for _, t, h in data:
-        pages[h].add(t or "")
+    for k, (_, t, h) in enumerate(data):
+        page = (t or "") if merged else k
+        pages[h].add(page)
         for line in (t or "").split("\n"):
-            hits[h, line.strip()].add(t)
-    gone = {(h, x) for (h, x), ts in hits.items() if x and len(ts) >= line_dedup.FEWEST_HITS and len(ts) > line_dedup.RATIO * len(pages[h])}
+            hits[h, line.strip()].add(page)
+    gone = {(h, x) for (h, x), ts in hits.items() if x and len(ts) >= fewest and len(ts) > line_dedup.RATIO * len(pages[h])}
     stay = lambda t, h: [x for x in t.split("\n") if (h, x.strip()) not in gone]
     want = sorted(((i, None, 0, 0, h) if t is None else (i, "\n".join(stay(t, h)), t.count("\n") + 1, t.count("\n") + 1 - len(stay(t, h)), h)) for i, t, h in data)
     rows = lambda df: sorted((x["doc_id"], x["text"], x["n_lines"], x["n_dropped"], x["source"]) for x in df.collect())
-    assert rows(line_dedup.line_dedup(df)) == want
+    assert rows(line_dedup.line_dedup(df, **rule)) == want
     by = {x[0]: x for x in want}
-    assert by[5][1] == "story 5 of many words to read\n" and by[100][1] == "few pages 0" and by[201][1] == "the very same text" and by[302][3] == 0 and by[400][1] == "0"
+    assert by[5][1] == "story 5 of many words to read\n" and by[100][1] == "few pages 0" and by[400][1] == "0"
+    assert (by[201][1], by[302][1]) == (("the very same text", "only two\nx") if merged else ("", "x"))
     assert line_dedup.cleaned(df).select("row.*").columns == df.columns
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
     monkeypatch.setattr(line_dedup, "SALT_PAGES", 7)
-    assert rows(line_dedup.line_dedup(df)) == want
-    assert line_dedup.line_dedup(empty).count() == 0
+    assert rows(line_dedup.line_dedup(df, **rule)) == want
+    assert line_dedup.line_dedup(empty, **rule).count() == 0
 
 
 # ---- 7
