@@ -55,7 +55,7 @@ def cleaned(rows):
             hits[h, line].add(t)
     out = Counter()
     for (i, t, h, n), times in rows.items():
-        stay = [x for x in (t or "").split("\n") if not (len(hits[h, x.strip()]) >= line_dedup.FEWEST_HITS and len(hits[h, x.strip()]) > line_dedup.RATIO * len(pages[h]))]
+        stay = [x for x in (t or "").split("\n") if not (len(hits[h, x.strip()]) >= pipeline.SITE_LINES["fewest_hits"] and len(hits[h, x.strip()]) > line_dedup.RATIO * len(pages[h]))]
         new = None if t is None else "\n".join(stay)
         out[i, new, h, n if new == t else len(new)] += times
     return out
