@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carepath.plans import check_queries, record_queries, table_queries, value_queries  # noqa: F401  the others add their queries to those of table_queries
+from carepath.plans import check_queries, record_queries, table_queries, text_queries, value_queries  # noqa: F401  the others add their queries to those of table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
