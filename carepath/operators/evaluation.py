@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import comb
+from math import ceil, comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,28 +57,46 @@ POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 def resample_weight(cluster: Column, replicate: Column, seed: str) -> Column:
     """How often a replicate takes a cluster: a Poisson number of mean 1 (at most 9) from a hash of the three."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), cluster.cast("string"), replicate.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    return _poisson(_drawn(cluster, replicate, seed))
+
+
+def _drawn(cluster: Column, replicate: Column, seed: str) -> Column:
+    """Eight hexadecimal digits from a hash of the three."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), cluster.cast("string"), replicate.cast("string"))), 1, 8)
+
+
+def _poisson(drawn: Column) -> Column:
+    """The Poisson number at the place among all digits where the drawn ones stand: digits compare as their numbers do."""
+    least = [f"{ceil(p * (1 << 32)):08x}" for p in POISSON]  # of the first digits that reach a chance
+    out = F.when(drawn < least[0], 0)
+    for k, digits in enumerate(least[1:], 1):
+        out = out.when(drawn < digits, k)
+    return out.otherwise(len(least))
 
 
 def bootstrap(rows: DataFrame, by: Sequence[str], cluster: str, num: Column, den: Column, *, replicates: int = 1000, seed: str = "bootstrap", level: float = 0.95) -> DataFrame:
     """by, n, estimate, low, high and exact: the interval of sum(num) / sum(den), whole clusters resampled.
 
-    Rows are summed for each cluster once. Every replicate takes each cluster a hashed Poisson number of
-    times, so the sums of replicates are plain sums, combined before the shuffle and the same in any
-    order. The interval lies between the replicates' values at the floor of the outer places. At 0 and
+    Rows are summed for each cluster once, and the clusters are dealt to all cores, as each becomes a row
+    for every replicate. A replicate takes each cluster a hashed Poisson number of times, so its sums are
+    plain sums, combined before the shuffle and the same in any order; replicate -1 takes every cluster once. The interval lies between the replicates' values at the floor of the outer places. At 0 and
     at 1 all replicates agree, and the exact bound of a share takes the place of the interval. A group
     without a denominator has null values; a null cluster is a cluster.
     """
     sums = rows.groupBy(*by, F.col(cluster).alias("__c")).agg(F.coalesce(F.sum(num), F.lit(0)).alias("__k"), F.coalesce(F.sum(den), F.lit(0)).alias("__n"))
-    totals = sums.groupBy(*by).agg(F.sum("__k").alias("k"), F.sum("__n").alias("n"))
-    each = sums.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", resample_weight(F.coalesce(F.col("__c").cast("string"), F.lit("")), F.col("__r"), seed)).where("__w > 0")
-    taken = each.groupBy(*by, "__r").agg(F.sum(F.col("__w") * F.col("__k")).alias("__k"), F.sum(F.col("__w") * F.col("__n")).alias("__n")).where("__n > 0")
-    values = taken.groupBy(*by).agg(F.sort_array(F.collect_list(F.col("__k").cast("double") / F.col("__n"))).alias("__v"))  # `replicates` at most
+    spark = rows.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = F.coalesce(F.col("__c").cast("string"), F.lit(""))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: _drawn(name, r, seed))
+    each = sums.repartition(parts, *by, "__c").select(*by, "__k", "__n", F.posexplode(F.concat(F.array(F.lit("")), drawn)).alias("__r", "__d"))  # of replicate r - 1
+    weight = F.when(F.col("__r") == 0, 1).otherwise(_poisson(F.col("__d")))
+    taken = each.select(*by, "__r", "__k", "__n", weight.alias("__w")).groupBy(*by, "__r").agg(F.sum(F.col("__w") * F.col("__k")).alias("__k"), F.sum(F.col("__w") * F.col("__n")).alias("__n"))
+    of_all = lambda c: F.max(F.when(F.col("__r") == 0, F.col(c)))
+    share = F.when((F.col("__r") > 0) & (F.col("__n") > 0), F.col("__k").cast("double") / F.col("__n"))
+    out = taken.groupBy(*by).agg(of_all("__k").alias("k"), of_all("__n").alias("n"), F.sort_array(F.collect_list(share)).alias("__v"))  # `replicates` at most
     half = (1 - level) / 2
-    place = lambda q: F.element_at("__v", (F.floor(F.lit(q) * (F.size("__v") - 1)) + 1).cast("int"))
+    place = lambda q: F.get("__v", F.floor(F.lit(q) * (F.size("__v") - 1)).cast("int"))
     tail = F.pow(F.lit(half), 1 / F.col("n"))
-    out = totals.join(values, list(by), "left") if by else totals.crossJoin(F.broadcast(values))  # one row each
     edge = (F.col("k") == 0) | (F.col("k") == F.col("n"))
     some = lambda c: F.when(F.col("n") > 0, c)
     low = F.when(F.col("k") == 0, 0.0).when(F.col("k") == F.col("n"), tail).otherwise(place(half))

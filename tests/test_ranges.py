@@ -74,3 +74,12 @@ def test_bootstrap_against_brute_force(spark):
 def test_weights_are_poisson(spark):
     n = [r.w for r in spark.range(20_000).select(evaluation.resample_weight(F.col("id"), F.lit(1), "x").alias("w")).collect()]
     assert sum(n) / len(n) == pytest.approx(1, abs=0.03) and sum(x * x for x in n) / len(n) == pytest.approx(2, abs=0.08)
+
+
+def test_bootstrap_hashes_once_and_deals_clusters_to_all_cores(spark):
+    df = spark.createDataFrame([("a", c, c % 3, 3) for c in range(50)] + [("none", 1, 0, 0)], "g string, c int, k int, n int")
+    out = evaluation.bootstrap(df, ["g"], "c", F.col("k"), F.col("n"), replicates=40)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and "RepartitionByExpression" in plan
+    got = {r.g: r for r in out.collect()}
+    assert got["none"].n == 0 and got["none"].low is None and got["a"].n == 150 and got["a"].low < got["a"].estimate < got["a"].high
