@@ -14,7 +14,7 @@ import datetime as dt
 import re
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -81,6 +81,7 @@ def without_refs(text: str) -> str:
 # ---- numbers and days
 
 _PIECE = re.compile(r"\d+(?:[./,-]\d+)*|[^\W\d_]+|[^\s\w]|_")
+_ISO, _DMY, _YEAR, _ONE_OR_TWO = (re.compile(x) for x in (r"\d{4}-\d\d-\d\d", r"\d{1,2}[./]\d{1,2}[./]\d{4}", r"\d{4}", r"\d{1,2}"))
 
 
 def readings(number: str, language: str) -> set[str]:
@@ -110,19 +111,21 @@ def values(text: str, language: str) -> tuple[list[list[str]], list[str], list[s
     used, days, months = set(), set(), set()
 
     def year(k: int) -> bool:
-        return k < len(words) and re.fullmatch(r"\d{4}", words[k]) is not None
+        return k < len(words) and _YEAR.fullmatch(words[k]) is not None
 
     def after(k: int, *skipped: str) -> int:
         """The place of the next piece that is none of the skipped ones."""
         return k + 1 if k < len(words) and words[k] in skipped else k
 
     for k, w in enumerate(words):
-        parts = re.split("[./-]", w)
-        if re.fullmatch(r"\d{4}-\d\d-\d\d", w):
+        if w not in MONTHS and not w[0].isdigit():
+            continue
+        if _ISO.fullmatch(w):
             used.add(k)
-            days.add(_day(*parts))
-        elif re.fullmatch(r"\d{1,2}[./]\d{1,2}[./]\d{4}", w):  # day first, in English as well month first
+            days.add(_day(*w.split("-")))
+        elif _DMY.fullmatch(w):  # day first, in English as well month first
             used.add(k)
+            parts = re.split("[./]", w)
             days.add(_day(parts[2], parts[1], parts[0]))
             if language == "en":
                 days.add(_day(parts[2], parts[0], parts[1]))
@@ -131,10 +134,10 @@ def values(text: str, language: str) -> tuple[list[list[str]], list[str], list[s
             end = after(k + 1, ".")
             before = k - 1 - (k > 0 and words[k - 1] in (*ordinals, "°", "º"))
             late = after(end, ",")
-            if before >= 0 and re.fullmatch(r"\d{1,2}", words[before]) and before not in used and year(late):
+            if before >= 0 and _ONE_OR_TWO.fullmatch(words[before]) and before not in used and year(late):
                 used |= {before, late}
                 days.add(_day(words[late], MONTHS[w], words[before]))
-            elif end < len(words) and re.fullmatch(r"\d{1,2}", words[end]) and year(late := after(after(end + 1, *ordinals), ",")):
+            elif end < len(words) and _ONE_OR_TWO.fullmatch(words[end]) and year(late := after(after(end + 1, *ordinals), ",")):
                 used |= {end, late}
                 days.add(_day(words[late], MONTHS[w], words[end]))
             elif year(late := after(end, "of", "del", "di")):
@@ -205,9 +208,20 @@ def _first(rule: tuple) -> frozenset[str]:
     return some | _first(rule[1:]) if slot[0] == "maybe" else some
 
 
-def _found(words: list[str], rules: Iterable[tuple], places: Iterable[int] | None = None) -> Iterator[int]:
+@cache
+def _by_first(rules: tuple) -> dict[str, list[tuple]]:
+    """The rules that may begin with a word."""
+    out: dict[str, list[tuple]] = {}
+    for r in rules:
+        for w in _first(r):
+            out.setdefault(w, []).append(r)
+    return out
+
+
+def _found(words: list[str], rules: tuple, places: Iterable[int] | None = None) -> Iterator[int]:
+    some = _by_first(rules)
     for at in range(len(words)) if places is None else places:
-        if at < len(words) and any(words[at] in _first(r) and _walk(words, at, r) is not None for r in rules):
+        if at < len(words) and any(_walk(words, at, r) is not None for r in some.get(words[at], ())):
             yield at
 
 
@@ -242,17 +256,23 @@ def wording(text: str) -> list[str]:
             break
     holds = lambda rules, places=None: next(_found(words, rules, places), None) is not None
     orders = holds(ORDERS, [0]) or holds(TREATMENT)
-    said = any(_phrase(words, k, ATTRIBUTIONS) for k in range(len(words)))
-    if orders or (holds(PASSIVE) and not said):
+    if orders or (holds(PASSIVE) and not any(_phrase(words, k, ATTRIBUTIONS) for k in range(len(words)))):
         out.append("treatment instruction")
     return out
 
 
+_FREE_FROM = ((("no", "without", "non"), ("anaemia", "anemia", "anaemic", "anemic")), (("nessuna", "assenza di", "senza", "no"), ("anemia",)))
+#: The words that a category may begin with, other than G and A with a number.
+_TELLING = {"stage", "stadio", "ckd", "mrc", "risk", "rischio", *SEVERITY, *SEVERITY_IT} | {p.split(" ")[0] for p in (*CONDITIONS_IT, *RISKS, *_FREE_FROM[0][0], *_FREE_FROM[1][0])}
+
+
 def categories(text: str) -> list[str]:
     """Stages, categories, grades of severity and levels of risk that a text names, in one form for both languages."""
     plain = re.findall(r"[^\W_]+", text)
     words, out = [w.lower() for w in plain], set()
     for k, w in enumerate(words):
+        if w not in _TELLING and plain[k][0] not in "GA":
+            continue
         if m := re.fullmatch(r"G([1-5][ab]?)|A([1-3])", plain[k]):
             out.add(m.group())
         if w in ("stage", "stadio", "ckd", "mrc") and k + 1 < len(words) and re.fullmatch("[1-5][ab]?", words[k + 1]):
@@ -262,8 +282,7 @@ def categories(text: str) -> list[str]:
         if w in SEVERITY_IT and _phrase(words, k + 1, CONDITIONS_IT):
             out.add(f"severity {SEVERITY_IT[w]}")
         out |= {f"severity {SEVERITY_IT[words[e]]}" for e in _phrase(words, k, CONDITIONS_IT) if e < len(words) and words[e] in SEVERITY_IT}
-        free = [("no", "without", "non"), ("nessuna", "assenza di", "senza", "no")]
-        ends = [e for starts, names in zip(free, (("anaemia", "anemia", "anaemic", "anemic"), ("anemia",)), strict=True) for s in _phrase(words, k, starts) for e in _phrase(words, s, names)]
+        ends = [e for starts, names in _FREE_FROM for s in _phrase(words, k, starts) for e in _phrase(words, s, names)]
         if any(not _phrase(words, e, NOT_GRADED) for e in ends):
             out.add("severity none")
         out |= {f"risk {RISKS[r]}" for r in RISKS if any(words[e : e + 1] == ["risk"] for e in _phrase(words, k, (r,)))}
@@ -274,11 +293,15 @@ def categories(text: str) -> list[str]:
     return sorted(out)
 
 
+#: The words that the name of a source begins with.
+_NAMING = {form.split(" ")[0] for forms in SOURCES.values() for form in forms}
+
+
 def sources(text: str) -> list[str]:
     """The sources that a text names."""
     plain = re.findall(r"[^\W_]+", text)
     words = [w.lower() for w in plain]
-    named = {name for k in range(len(words)) for name, forms in SOURCES.items() if plain[k] != "who" and _phrase(words, k, forms)}
+    named = {name for k, w in enumerate(words) if w in _NAMING and plain[k] != "who" for name, forms in SOURCES.items() if _phrase(words, k, forms)}
     return sorted(named)
 
 
@@ -305,6 +328,10 @@ _READ = pa.struct([
 _KIND = "struct<text:string,numbers:array<array<string>>,days:array<string>,months:array<string>,categories:array<string>,sources:array<string>,ids:array<string>,wording:array<string>>"
 
 
+#: Characters of a text at most whose reading is kept, and how many are.
+SHORT_TEXT, KEPT_TEXTS = 1000, 4096
+
+
 def _read(text: str | None, language: str | None, sentence: bool) -> dict:
     text, language = without_refs(text or "") if sentence else text or "", language if language == "it" else "en"
     numbers, days, months = values(text, language)
@@ -314,13 +341,20 @@ def _read(text: str | None, language: str | None, sentence: bool) -> dict:
     return {"text": text, "numbers": numbers, "days": days, "months": months, "categories": categories(text), "sources": sources(text), "ids": ids_in(text), "wording": said}
 
 
+_read_again = lru_cache(KEPT_TEXTS)(_read)  # stock sentences come again and again
+
+
+def _reading(text: str | None, language: str | None, sentence: bool) -> dict:
+    return (_read_again if len(text or "") <= SHORT_TEXT else _read)(text, language, sentence)
+
+
 def typed(rows: DataFrame, text_col: str, language: Column, *, sentence: bool) -> DataFrame:
     """The rows with `read`, the typed values of their text; sentences lose their references first."""
     keep = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            read = [_read(t, x, sentence) for t, x in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            read = [_reading(t, x, sentence) for t, x in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(read, _READ)], [*keep, "read"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -342,7 +376,7 @@ def checked(sentences: DataFrame, items: DataFrame) -> DataFrame:
     )
     ids = items.groupBy("pack").agg(F.collect_set("item").alias("item_ids"))
     read = typed(sentences.select("pack", "sentence", "text", "cites", "language"), "text", F.col("language"), sentence=True).drop("text", "language")
-    met = read.select("pack", "sentence", F.explode(F.coalesce("cites", F.array().cast("array<string>"))).alias("cite")).join(known.withColumn("known", F.lit(True)), ["pack", "cite"], "left")
+    met = sentences.select("pack", "sentence", F.explode(F.coalesce("cites", F.array().cast("array<string>"))).alias("cite")).join(known.withColumn("known", F.lit(True)), ["pack", "cite"], "left")
     every = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(f"cited_{c}")
     cited = met.groupBy("pack", "sentence").agg(*map(every, ("numbers", "days", "categories", "sources")), F.collect_set(F.when(F.col("known").isNull(), F.col("cite"))).alias("unknown"))
     rows = read.join(cited, ["pack", "sentence"], "left").join(ids, "pack", "left")

@@ -121,3 +121,16 @@ def test_categories_in_both_languages():
 def test_ids():
     assert st.ids_in("Int 2024;105(4S):S117-S314, pp. S155. P1.2 and as listed in P1.") == ["P1", "S155"]
     assert st.ids_in("5.1 F is warm, in F not") == ["F"]
+
+
+def test_a_text_is_read_once(spark, monkeypatch):
+    seen, real = [], st.values
+    monkeypatch.setattr(st, "values", lambda *a: seen.append(a) or real(*a))
+    once, long = "It was 4.5 on 2020-01-02, once more.", "It was 4.5. " * 200
+    assert st._reading(once, "en", True) == st._reading(once, "en", True) and len(seen) == 1
+    assert st._reading(long, "en", True) == st._reading(long, "en", True) and len(seen) == 3  # long texts are not kept
+    asked = spark.createDataFrame([(1, 1, once, ["E1"], "en")], "pack int, sentence int, text string, cites array<string>, language string")
+    items = spark.createDataFrame([(1, "E1", "evidence", "2020-01-02: 4.5", None)], "pack int, item string, kind string, text string, day date")
+    out = st.checked(asked, items)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # sentences and items
+    assert [r.problems for r in out.collect()] == [[]]
