@@ -2,12 +2,15 @@
 
 A kind is a list of groups of phrases; a sentence is of the kind if it holds a phrase of every group,
 within a number of words of one another if a limit is set. Each group, or with a limit each kind, is
-one alternation, so a sentence is read once for each of them, in the JVM.
+one alternation, so a sentence is read once for each of them, in the JVM. Patterns are slow, so a
+sentence is first looked through for the plain words that their alternatives begin with.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 from itertools import permutations
 from typing import NamedTuple
 
@@ -22,7 +25,20 @@ class Phrases(NamedTuple):
     any_case: bool = True
 
     def pattern(self) -> str:
-        return f"(?{'iu' if self.any_case else ''}U:{'|'.join(self.forms)})"
+        bounded = [f[2:] for f in self.forms if f.startswith(r"\b") and "|" not in f]  # their bound is looked for once
+        rest = [f for f in self.forms if not f.startswith(r"\b") or "|" in f]
+        return f"(?{'iu' if self.any_case else ''}U:{'|'.join(rest + ([rf'\b(?:{"|".join(bounded)})'] if bounded else []))})"
+
+    def openings(self) -> list[str] | None:
+        """Plain text that each alternative begins with; None if one has none."""
+        found = [_opening(f) for f in self.forms]
+        return None if not all(found) or (self.any_case and not all(f.isascii() for f in found)) else found
+
+
+def _opening(form: str) -> str:
+    plain = re.match(r"(?:\\b)?((?:[^\W_]|[ <>≤≥])*)", form)
+    some = plain[1][:-1] if form[plain.end() :][:1] in ("?", "*", "{") else plain[1]
+    return "" if "|" in form else some
 
 
 class Kind(NamedTuple):
@@ -45,15 +61,30 @@ SKIPPED = ("34069-5", "34089-3", "34092-7", "34084-4", "43682-4", "43681-6", "43
 SENTENCE_BOUND = r"(?U)(?<=[.;])\s+(?=[A-Z•(\[])|\n"
 
 
-def holds(sentence: Column, kind: Kind) -> Column:
-    """Whether a sentence is of a kind. With a limit the phrases must not overlap."""
+def lowered(sentence: Column) -> Column:
+    """An ASCII sentence in lower case; null for others, in which letters such as the long s match plain ones."""
+    return F.when(F.octet_length(sentence) == F.length(sentence), F.lower(sentence))
+
+
+def _may_hold(sentence: Column, low: Column, group: Phrases) -> Column:
+    """Whether plain text of a group is there; without it none of its phrases is."""
+    if (openings := group.openings()) is None:
+        return F.lit(True)
+    if group.any_case:
+        return reduce(lambda a, x: a | F.contains(low, F.lit(x.lower())), openings, low.isNull())
+    return reduce(lambda a, b: a | b, [F.contains(sentence, F.lit(x)) for x in openings])
+
+
+def holds(sentence: Column, kind: Kind, low: Column | None = None) -> Column:
+    """Whether a sentence is of a kind; `low` is the sentence as `lowered` gives it. With a limit the phrases must not overlap."""
+    low = lowered(sentence) if low is None else low
+    found = reduce(lambda a, b: a & b, [_may_hold(sentence, low, group) for group in kind.groups], F.lit(True))
     if kind.within is None:
-        found = F.lit(True)
         for group in kind.groups:
             found = found & sentence.rlike(group.pattern())
         return found
     gap = rf"(?U:\w*\W+(?:\w+\W+){{0,{kind.within}}}?)"
-    return sentence.rlike("|".join(gap.join(g.pattern() for g in order) for order in permutations(kind.groups)))
+    return found & sentence.rlike("|".join(gap.join(g.pattern() for g in order) for order in permutations(kind.groups)))
 
 
 def statements(sections: DataFrame, *, kinds: Sequence[Kind] = LABEL_KINDS, skipped: Sequence[str] = SKIPPED) -> DataFrame:
@@ -62,9 +93,10 @@ def statements(sections: DataFrame, *, kinds: Sequence[Kind] = LABEL_KINDS, skip
     Sections with a skipped code are not read; those without a code are. A null text has no sentence.
     """
     read = sections.where(F.col("code").isNull() | ~F.col("code").isin(*skipped)) if skipped else sections
-    cut = read.select("label", "code", F.explode(F.split("text", SENTENCE_BOUND)).alias("sentence"))
-    kind = F.coalesce(*[F.when(holds(F.col("sentence"), k), k.name) for k in kinds])
-    return cut.withColumn("kind", kind).where("kind is not null")
+    kind = lambda x: F.coalesce(F.lit(None).cast("string"), *[F.when(holds(x["sentence"], k, x["low"]), k.name) for k in kinds])
+    cut = F.transform(F.split("text", SENTENCE_BOUND), lambda s: F.struct(s.alias("sentence"), lowered(s).alias("low")))
+    told = F.transform(cut, lambda x: F.struct(x["sentence"].alias("sentence"), kind(x).alias("kind")))
+    return read.select("label", "code", F.inline(told)).where("kind is not null")  # a kind is told once, where sentences are cut
 
 
 def census(sections: DataFrame, *, kinds: Sequence[Kind] = LABEL_KINDS, skipped: Sequence[str] = SKIPPED) -> DataFrame:

@@ -1,6 +1,7 @@
 """Passages with ids, running lines, reference pages and the census of statements."""
 
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,16 @@ def test_a_limit_on_the_words_between(spark):
     said = ["Monitoring of the renal function", "renal function, which you monitor", "Monitor all of the many renal function tests", "monitor renal function"]
     df = spark.createDataFrame([(x,) for x in said], "x string").withColumn("hit", census.holds(F.col("x"), near))
     assert [r["hit"] for r in df.collect()] == [True, True, False, True]
+
+
+def test_census_looks_for_plain_words_before_patterns(spark):
+    assert census._opening(r"\bchecks?") == "check" and census._opening("a|b") == "" and census._opening(r"[ab]c") == ""
+    said = ["Measure hemoglobin weekly", "MEASURE HEMOGLOBIN WEEKLY", "mea\u017fure hemoglobin wee\u212aly", "measured hæmoglobin weekly", "unmeasured hemoglobin weekly", "Measure hemoglobin biweekly", "eGFR <\u00a030", "eGFR below 30", "eGFR below x", "CRCL under 5"]
+    df = spark.createDataFrame([(x,) for x in said], "x string")
+    plain = lambda k: reduce(lambda a, b: a & b, [F.col("x").rlike(f"(?{'iu' if g.any_case else ''}U:{'|'.join(g.forms)})") for g in k.groups])
+    rows = df.select("x", *[census.holds(F.col("x"), k).alias(f"a{n}") for n, k in enumerate(census.LABEL_KINDS)], *[plain(k).alias(f"b{n}") for n, k in enumerate(census.LABEL_KINDS)]).collect()
+    assert [tuple(r)[1:4] for r in rows] == [tuple(r)[4:] for r in rows] and sum(sum(tuple(r)[1:4]) for r in rows) == 6
+    sections = df.select(F.col("x").alias("label"), F.lit("1").alias("code"), F.col("x").alias("text"))
+    plan = census.statements(sections)._jdf.queryExecution().optimizedPlan()
+    assert not any("RLIKE" in line for line in plan.toString().split("\n") if line.lstrip("+-: ").startswith("Filter"))  # a kind is not told again
+    assert census.statements(sections).count() == 6
