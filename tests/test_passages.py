@@ -3,10 +3,11 @@
 import random
 from functools import reduce
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from carepath.functions.text import packed, paragraphs
+from carepath.functions.text import BATCH_CHARS, BATCH_ROWS, packed, paragraphs, passage_batches, passages
 from carepath.operators import census, chunks
 
 PAGE = "source string, version string, title string, number int, label string, text string"
@@ -128,3 +129,16 @@ def test_census_looks_for_plain_words_before_patterns(spark):
     plan = census.statements(sections)._jdf.queryExecution().optimizedPlan()
     assert not any("RLIKE" in line for line in plan.toString().split("\n") if line.lstrip("+-: ").startswith("Filter"))  # a kind is not told again
     assert census.statements(sections).count() == 6
+
+
+def test_passages_are_handed_back_in_bounded_batches(spark):
+    texts = [(k, None if k == 3 else "\n".join(f"Word {j} of text {k} is here." for j in range(4000))) for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts]), pa.array([t for _, t in texts])], ["id", "text"])
+    got = list(passage_batches(batch))
+    assert len(got) > 3 and all(sum(map(len, b["passage"].to_pylist())) < BATCH_CHARS + 120_000 for b in got)
+    rows = [r for b in got for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert rows == [(k, n, p) for k, t in texts for n, p in enumerate(packed(paragraphs((t or "").split("\n"))), 1)]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = passages(spark.createDataFrame([*texts[:5], (None, "One. Two.")], "id long, text string"), "id", "text").collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
+    assert sorted(map(tuple, out), key=str) == sorted([r for r in rows if r[0] < 5] + [(None, 1, "One. Two.")], key=str)
