@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from carepath.functions.text import tokens
 from carepath.operators import quotes
 from carepath.operators.digests import row_digest
+from carepath.sources.scratch import stored
 
 KINDS = ("document", "label", "statement")
 
@@ -54,9 +55,10 @@ def wanted(statements: DataFrame, found: DataFrame) -> DataFrame:
 def checked(asked: DataFrame, pages: DataFrame, passages: DataFrame, *, cut: Callable[[Column], Column] = tokens) -> tuple[DataFrame, DataFrame]:
     """The statement nodes among `asked` whose quotes hold, and node and problem of the others."""
     quote = asked.where("known").withColumnRenamed("node", "quote_id")
-    wrong = quotes.problems(quote, pages, cut=cut).select(F.col("quote_id").alias("node"), F.concat("problem", F.lit(": "), "text").alias("problem"))
+    wrong = stored(quotes.problems(quote, pages, cut=cut).select(F.col("quote_id").alias("node"), F.concat("problem", F.lit(": "), "text").alias("problem")), "quotes-wrong")
     unknown = asked.where(~F.col("known")).select("node", F.concat("document", F.lit(" is not a stored document or a locked label")).alias("problem"))
     held = quotes.passage_ids(quote, passages, cut=cut).select(F.col("quote_id").alias("node"), F.col("ids").alias("passages")).where(F.size("passages") > 0)
+    held = stored(held, "quotes-held")  # what was found is read by the nodes and by the problems
     sound = asked.where("known").join(wrong.select("node").distinct(), "node", "left_anti")
     lost = sound.join(held, "node", "left_anti").select("node", F.lit("the quote is in the text but in no single passage run").alias("problem"))
     nodes = sound.join(held, "node").select("node", F.lit("statement").alias("kind"), F.col("locator").alias("title"), "citation", "locator", "quote", "passages", "digest")
@@ -71,7 +73,7 @@ def build(documents: DataFrame, pages: DataFrame, passages: DataFrame, statement
     place and text. `before` are the nodes of an earlier graph: what has its digest is not made again.
     """
     found = sources(documents, pages)
-    asked = wanted(statements, found)
+    asked = stored(wanted(statements, found), "statements-asked")
     same = before.select("node", "digest").distinct() if before is not None else asked.select("node", "digest").limit(0)
     fresh = asked.join(same, ["node", "digest"], "left_anti")
     made, problems = checked(fresh, pages.join(fresh.select("document").distinct(), "document", "left_semi"), passages.join(fresh.select("document").distinct(), "document", "left_semi"), cut=cut)

@@ -59,3 +59,12 @@ def test_only_what_changed_is_made_again(spark, monkeypatch):
     assert {r.node for r in new.nodes.collect()} == {r.node for r in before.collect()}
     broken, problems = kn.build(*inputs(spark, dose="Nothing is said."), before=before)
     assert [r.node for r in problems.select("node").distinct().collect()] == ["statement:low"]
+
+
+def test_quotes_are_looked_for_once(spark):
+    """Nodes and problems read what was found; neither looks through the pages again."""
+    graph, problems = kn.build(*inputs(spark, quote="Never use"))
+    for df in (graph.nodes, problems):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan
+    assert problems.count() == 1
